@@ -106,6 +106,7 @@ def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b") ->
     folder; both shuffle edges only and converge in a logarithmic number of rounds. Nodes may be
     of any orderable type; null nodes are left out.
     """
+    work = Workspace(work.spark, "components", work.path)
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     e = e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = work.save(e, "edges-0")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, tokens
+from . import ann, decontam, html, jaccard, langid, packing, repeats, tokens, toxicity
 from .common import Workspace, ship, table
 
 
@@ -17,12 +17,50 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def id_crc(column: str, modulus: int):
+    """crc32 of an id written as text, modulo a small number; a null id counts as no remainder of the contract's."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = tokens.token_counts(docs, vocabulary("word_bpe_49k.json"), Workspace(spark, "op3"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = id_crc("doc_id", 4) == 2
+    samples = langid.sample(docs.where(~held_out))
+    out = docs.select("doc_id", held_out.alias("held_out"), langid.language_column(F.col("text"), samples).alias("s"))
+    return out.select("doc_id", "held_out", F.col("s.lang").alias("lang_pred"), "s.score")
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    out = repeats.remove_repeats(docs, Workspace(spark, "op5"))
+    return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.main_text_column(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", "toxic")
+    held_out = id_crc("doc_id", 3) == 1
+    rows = toxicity.sample(docs.where(~held_out).join(labels.where(~held_out), "doc_id"))
+    out = docs.select("doc_id", held_out.alias("held_out"), toxicity.score_column(F.col("text"), rows).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = docs.select("doc_id", decontam.scan_column(F.col("text"), table(spark, sf_dir, "benchmark")).alias("s"))
@@ -30,6 +68,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "s.n_words", "s.n_hit", F.size("s.items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), decontam.is_contaminated(F.col("s")).alias("contaminated"))
 
 
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = ann.PermutationIndex(vectors, Workspace(spark, "op9"))
+    return index.search(vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -45,7 +89,7 @@ def _shipped(f: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op3_token_counts, op8_benchmark_decontamination, op10_packing)}
+    return {f.__name__: _shipped(f) for f in (op2_ngram_jaccard_join, op3_token_counts, op4_language_id, op5_suffix_array_dedup, op6_html_extraction, op7_toxicity, op8_benchmark_decontamination, op9_permutation_index, op10_packing)}
 
 
 #: Words of the decontamination contract, and its windows, over whole tables.
