@@ -293,7 +293,7 @@ def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = L
     return joined.unionByName(sized.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def parts(texts: pa.Array, size: int = 16 << 20) -> Iterator[tuple[int, int]]:
+def parts(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch that hold some MB of text each, one row at least."""
     import pyarrow.compute as pc
 

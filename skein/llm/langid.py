@@ -14,6 +14,8 @@ SAMPLE_CHARS = 24_000
 SAMPLE_ROWS = 200
 #: Texts are parsed side by side in pieces of this many symbols; a phrase ends where its piece does, for every language alike.
 PIECE = 1024
+#: Characters parsed side by side, about.
+BATCH = 4 << 20
 UNKNOWN = "und"
 RESULT = "lang string, score double"
 _automata: dict[int, tuple] = {}
@@ -140,8 +142,10 @@ class Parser:
         """
         lines = [t or "" for t in texts]
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        for lo in range(0, len(lines), 2048):
-            counts, sizes = self.phrases(lines[lo : lo + 2048])
+        ends = np.cumsum([0, *map(len, lines)])
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + BATCH, BATCH)).clip(0, len(lines)))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            counts, sizes = self.phrases(lines[lo:hi])
             rate = counts / np.maximum(sizes, 1)[:, None] * np.log2(1 + SAMPLE_CHARS)
             best = rate.argmin(1)
             weight = np.exp(-4 * (rate - rate.min(1, keepdims=True)))

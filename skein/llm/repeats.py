@@ -208,8 +208,17 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
     texts = docs.select(digest.alias("h"), body.alias("text"))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments of the texts, of copies met in one task those of the first."""
+        seen: set[bytes] = set()
         for batch in batches:
-            for lo, hi in parts(batch.column(1)):
+            fresh = []
+            for h in batch.column(0).to_pylist():
+                fresh.append(h not in seen)
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(h)
+            batch = batch.filter(pa.array(fresh))
+            for lo, hi in parts(batch.column(1), 2 << 20):
                 raw = [t.as_buffer().to_pybytes() for t in batch.column(1).slice(lo, hi - lo).cast(pa.binary())]
                 t, start, end, place, key = segments(raw, length, gram)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(t)), pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(place.astype(np.int32))], names=["h", "key", "s", "e", "p"])
@@ -217,12 +226,13 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
     long_enough = F.octet_length("text") >= length
     copies = work.save(texts.where(long_enough).groupBy("h").agg(F.count("*").alias("copies")), "copies")
     dealt = texts.where(long_enough).mapInArrow(cut_up, "h binary, key long, s int, e int, p int")
-    # copies of a text give equal rows: they collapse on both sides of the one shuffle
-    dealt = dealt.groupBy("key", "h", "s", "e", "p").agg(F.lit(1).alias("one")).drop("one")
+    # one shuffle, by key; copies of a text in different tasks give equal rows, which collapse where they meet
+    dealt = dealt.repartition("key").groupBy("key", "h", "s", "e", "p").agg(F.lit(1).alias("one")).drop("one")
     often = dealt.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     wanted = dealt.join(often, "key", "left_semi")
     wanted = wanted.groupBy("h").agg(F.collect_list(F.struct("s", "e", "p", "key")).alias("parts"))
     wanted = work.save(wanted, "wanted")
+    del dealt, often
     work.release()
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,10 +307,13 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
     bucketed = distinct.select("sid", "key", "off", "seg").repartition("key").sortWithinPartitions("key")
     ranges = bucketed.mapInArrow(solve, "sid binary, a int, b int")
     ranges = work.save(ranges, "ranges")
+    del bucketed, distinct
+    work.release()
     ranges = ranges.unionByName(many.select("sid", F.lit(0).alias("a"), (F.col("run") - 1).alias("b")))
     found = where.join(ranges, "sid").join(copies.where("copies > 1"), "h", "left_anti")
     found = found.groupBy("h").agg(F.collect_list(F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b"))).alias("ranges"))
     found = work.save(found, "found")
+    del where, many, ranges, fetched
     work.drop("segments")
     work.release()
 

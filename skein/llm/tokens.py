@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,11 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 #: Chunks kept per process; the store is emptied when it is full, so memory does not grow with the corpus.
-CHUNKS = 400_000
+CHUNKS = 1_000_000
+#: Characters of a chunk that is still kept.
+LONGEST = 48
+#: Packers of a few ids into little-endian 32-bit bytes.
+PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
 _loaded: dict[tuple[str, str], object] = {}
 
 
@@ -53,15 +58,21 @@ class WordCounter:
         out, known = [], self.known
         for text in texts:
             chunks = text.replace("\n", " ").split(" ")
-            missing = [c for c in set(chunks) if c not in known]
-            if len(known) + len(missing) > CHUNKS:
-                known.clear()
-                known[""] = 0
-                missing = [c for c in set(chunks) if c]
-            for at in range(0, len(missing), 4096):
-                part = missing[at : at + 4096]
-                known.update(zip(part, (len(e) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-            out.append(sum(map(known.__getitem__, chunks)))
+            found = list(map(known.get, chunks))
+            at = [i for i, n in enumerate(found) if n is None]
+            if at:
+                if len(known) > CHUNKS:
+                    known.clear()
+                    known[""] = 0
+                fresh = list(dict.fromkeys([chunks[i] for i in at]))
+                new: dict[str, int] = {}
+                for lo in range(0, len(fresh), 4096):
+                    part = fresh[lo : lo + 4096]
+                    new.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+                for i in at:
+                    found[i] = new[chunks[i]]
+                known.update(new if max(map(len, fresh)) <= LONGEST else {c: n for c, n in new.items() if len(c) <= LONGEST})
+            out.append(sum(found))
         return out
 
 
@@ -77,7 +88,6 @@ class ByteEncoder:
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.special = [str(t) for t in (a.content for a in self.tokenizer.get_added_tokens_decoder().values())]
-        self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def _bytes(self, text: str) -> bytes:
@@ -90,19 +100,21 @@ class ByteEncoder:
             return self._bytes(text)
         head, *chunks = text.split(" ")
         known = self.later
-        missing = [c for c in set(chunks) if c not in known]
-        if len(known) + len(missing) > CHUNKS:
-            known.clear()
-            missing = list(set(chunks))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([" " + c for c in part], add_special_tokens=False), strict=True):
-                known[c] = np.asarray(e.ids, "<u4").tobytes()
-        if head not in self.first:
-            if len(self.first) > CHUNKS:
-                self.first.clear()
-            self.first[head] = self._bytes(head)
-        return self.first[head] + b"".join(map(known.__getitem__, chunks))
+        found = list(map(known.get, chunks))
+        at = [i for i, ids in enumerate(found) if ids is None]
+        if at:
+            if len(known) > CHUNKS:
+                known.clear()
+            fresh = list(dict.fromkeys([chunks[i] for i in at]))
+            new: dict[str, bytes] = {}
+            for lo in range(0, len(fresh), 4096):
+                part = fresh[lo : lo + 4096]
+                encoded = self.tokenizer.encode_batch_fast([" " + c for c in part], add_special_tokens=False)
+                new.update(zip(part, (PACK[len(e)](*e.ids) if len(e) < len(PACK) else np.asarray(e.ids, "<u4").tobytes() for e in encoded), strict=True))
+            for i in at:
+                found[i] = new[chunks[i]]
+            known.update(new if max(map(len, fresh)) <= LONGEST else {c: v for c, v in new.items() if len(c) <= LONGEST})
+        return self._bytes(head) + b"".join(found)
 
 
 def shared(kind: str, path: str):
