@@ -24,10 +24,10 @@ def stitch(events: DataFrame, gap: float = 120.0, least: float = 4.0) -> DataFra
         clusters: list[list[int]] = []
         out, members, end = [], [], float("-inf")
         for r in rows.itertuples():
-            mine = set(r.words or [])
+            mine = set(() if r.words is None else r.words)
             best = float("-inf")
             for m in members:
-                theirs = set(m.words or [])
+                theirs = set(() if m.words is None else m.words)
                 share = len(mine & theirs) / len(mine | theirs) if mine and theirs else 0.0
                 score = 3.0 if share >= 0.55 else 1.5 if share >= 0.35 else 0.0
                 score += 1.0 if m.label == r.label else -2.0

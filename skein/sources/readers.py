@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TIME = re.compile(r"(\S+)\s*-->\s*(\S+)")
-CUE = "s double, e double, text string"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
@@ -57,7 +56,7 @@ def subtitle_cues(text: str | None) -> list[tuple[float, float, str]]:
     return out
 
 
-@F.pandas_udf("array<struct<s:double,e:double,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.DoubleType()), T.StructField("e", T.DoubleType()), T.StructField("text", T.StringType())])))
 def cues_of(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"s": s, "e": e, "text": x} for s, e, x in subtitle_cues(t)], na_action=None)
 
@@ -119,7 +118,7 @@ def salvage_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def salvaged(text: pd.Series) -> pd.Series:
     return text.map(salvage_json, na_action=None)
 
@@ -131,4 +130,4 @@ def text_encoder(encode, dimension: int):
         for part in parts:
             yield pd.Series([list(map(float, v))[:dimension] for v in encode(part.fillna("").tolist())])
 
-    return F.pandas_udf(run, "array<float>")
+    return F.pandas_udf(run, T.ArrayType(T.FloatType()))
