@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html, jaccard, langid, packing, repeats, tokens, toxicity
+from . import ann, decontam, html, jaccard, langid, packing, quality, repeats, tokens, toxicity
 from .common import Workspace, ship, table
 
 
@@ -22,6 +22,16 @@ def id_crc(column: str, modulus: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are sources, paths their languages; every fifth id by crc32 is held out of learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    held_out = id_crc("doc_id", 5) == 0
+    labels = table(spark, sf_dir, "labels").where("quality is not null").where(~held_out).select("doc_id", "quality")
+    labelled = docs.where(~held_out).select("doc_id", "text").join(labels, "doc_id")
+    out = quality.quality(docs, labelled, F.col("source"), F.col("lang"), Workspace(spark, "op1"))
+    return out.withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
 
@@ -89,7 +99,7 @@ def _shipped(f: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op2_ngram_jaccard_join, op3_token_counts, op4_language_id, op5_suffix_array_dedup, op6_html_extraction, op7_toxicity, op8_benchmark_decontamination, op9_permutation_index, op10_packing)}
+    return {f.__name__: _shipped(f) for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_token_counts, op4_language_id, op5_suffix_array_dedup, op6_html_extraction, op7_toxicity, op8_benchmark_decontamination, op9_permutation_index, op10_packing)}
 
 
 #: Words of the decontamination contract, and its windows, over whole tables.
