@@ -22,12 +22,17 @@ def id_crc(column: str, modulus: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def with_labels(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """Documents of at most `rows` labels, first by digest of their ids: few enough to be sent to every task, so no text is shuffled."""
+    few = labels.where(F.col(label).isNotNull()).select("doc_id", label).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", label).limit(rows)
+    return docs.join(F.broadcast(few), "doc_id")
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts are sources, paths their languages; every fifth id by crc32 is held out of learning."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     held_out = id_crc("doc_id", 5) == 0
-    labels = table(spark, sf_dir, "labels").where("quality is not null").where(~held_out).select("doc_id", "quality")
-    labelled = docs.where(~held_out).select("doc_id", "text").join(labels, "doc_id")
+    labelled = with_labels(docs.select("doc_id", "text").where(~held_out), table(spark, sf_dir, "labels").where(~held_out), "quality", quality.MAX_ROWS)
     out = quality.quality(docs, labelled, F.col("source"), F.col("lang"), Workspace(spark, "op1"))
     return out.withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -64,9 +69,8 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", "toxic")
     held_out = id_crc("doc_id", 3) == 1
-    rows = toxicity.sample(docs.where(~held_out).join(labels.where(~held_out), "doc_id"))
+    rows = toxicity.sample(with_labels(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out), "toxic", toxicity.MAX_ROWS))
     out = docs.select("doc_id", held_out.alias("held_out"), toxicity.score_column(F.col("text"), rows).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
