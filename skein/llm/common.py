@@ -55,6 +55,40 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
+_caches: dict[str, object] = {}
+_owner = ""
+
+
+def trim() -> None:
+    """Give freed memory of this worker back to the system: workers outlive tasks and share the executor's bound."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def keeps(owner: str, clear) -> None:
+    """Name what empties an operator's per-process tables."""
+    _caches[owner] = clear
+
+
+def claim(owner: str) -> None:
+    """At a task's start: tables of the operators that ran in this worker before go."""
+    global _owner
+    if owner != _owner:
+        for name, clear in _caches.items():
+            if name != owner:
+                clear()
+        _owner = owner
+        trim()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the word."""
     x = x ^ (x >> np.uint64(33))
@@ -77,6 +111,9 @@ class RollingHash:
         self.values = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64)
         self.up = self.down = np.ones(1, np.uint64)
 
+    def forget(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
     def _grow(self, n: int) -> None:
         if len(self.up) < n + 1:
             size = max(n + 1, 1 << 16)

@@ -11,12 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim, keeps
+
 WINDOW = 13
 #: Fixed: ASCII letters and digits and every byte above 0x7F are word bytes; A-Z count as a-z.
 NORMAL = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 RESULT = "n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>"
 _automata: dict[int, object] = {}
+keeps("decontam", _automata.clear)
 
 
 def normalised(text: str) -> list[bytes]:
@@ -85,6 +88,7 @@ def scan_column(text: Column, benchmark: DataFrame, window: int = WINDOW, max_it
 
     @F.pandas_udf(RESULT)
     def scan(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("decontam")
         key = hash(tuple(sent.value)), window
         if key not in _automata:
             _automata.clear()

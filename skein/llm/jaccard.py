@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingHash, Workspace, components, mix
+from .common import RollingHash, Workspace, claim, components, keeps, mix, trim
 
 #: Words a shingle, and the least similarity as a fraction of whole numbers.
 WIDTH, LEAST = 3, (90, 100)
@@ -21,6 +21,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 _hash = RollingHash()
+_cuts: dict[int, np.ndarray] = {}
+keeps("jaccard", lambda: (_hash.forget(), _cuts.clear()))
 
 
 def shingle_hashes(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
@@ -96,9 +98,6 @@ def band_of(n: int, least: tuple[int, int] = LEAST) -> int:
     return int(np.searchsorted(e, n, side="right")) - 1
 
 
-_cuts: dict[int, np.ndarray] = {}
-
-
 def signatures(s: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
     """One hash for each hash group and band: equal if and (but for collisions) only if the groups' shingles are."""
     if not len(s):
@@ -232,6 +231,7 @@ def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = L
 
     def shingled(with_sets: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("jaccard")
             for batch in batches:
                 for lo, hi in parts(batch.column(1)):
                     part = batch.slice(lo, hi - lo)
@@ -243,6 +243,8 @@ def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = L
                         [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*listed, np.zeros(0, np.int64)])))],
                         names=["doc_id", "n", "c1", "c2", "listed"],
                     )
+            _hash.forget()
+            trim()
 
         return run
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim, keeps
+
 #: Characters of labelled text that a language's automaton is built from, at most, and rows looked at to fill them.
 SAMPLE_CHARS = 24_000
 SAMPLE_ROWS = 200
@@ -19,6 +21,7 @@ BATCH = 4 << 20
 UNKNOWN = "und"
 RESULT = "lang string, score double"
 _automata: dict[int, tuple] = {}
+keeps("langid", _automata.clear)
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -189,6 +192,7 @@ def language_column(text: Column, samples: dict[str, str]) -> Column:
 
     @F.pandas_udf(RESULT)
     def detect(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("langid")
         key = hash(tuple(sorted(samples.items())))
         if key not in _automata:
             _automata.clear()

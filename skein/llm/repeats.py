@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, Workspace
+from .common import RollingHash, Workspace, claim, keeps, trim
 from .jaccard import parts
 
 #: Bytes of a string whose second occurrence is removed, and of the minimiser chosen within it.
@@ -28,6 +28,7 @@ MISSING = 0xFF
 #: Segments whose columns are held in memory; those of larger buckets are in sequential files.
 IN_MEMORY = 32_768
 _hash = RollingHash(11)
+keeps("repeats", _hash.forget)
 INDEX_BITS = 28
 
 
@@ -209,6 +210,7 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments of the texts, of copies met in one task those of the first."""
+        claim("repeats")
         seen: set[bytes] = set()
         for batch in batches:
             fresh = []
@@ -222,6 +224,9 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
                 raw = [t.as_buffer().to_pybytes() for t in batch.column(1).slice(lo, hi - lo).cast(pa.binary())]
                 t, start, end, place, key = segments(raw, length, gram)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(t)), pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(place.astype(np.int32))], names=["h", "key", "s", "e", "p"])
+        del seen
+        _hash.forget()
+        trim()
 
     long_enough = F.octet_length("text") >= length
     copies = work.save(texts.where(long_enough).groupBy("h").agg(F.count("*").alias("copies")), "copies")
@@ -268,6 +273,8 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
                         out, size = [[] for _ in names], 0
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+        del seen, out
+        trim()
 
     fetched = texts.where(long_enough).join(wanted, "h").sortWithinPartitions("h").select("h", "text", "parts")
     # a text whose copies were dealt to several tasks by a skewed join gives its segments once
@@ -303,6 +310,7 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
         if len(rows) - begun == 1:
             ids.pop(), rows.pop(), offs.pop()
         yield flushed()
+        trim()
 
     bucketed = distinct.select("sid", "key", "off", "seg").repartition("key").sortWithinPartitions("key")
     ranges = bucketed.mapInArrow(solve, "sid binary, a int, b int")

@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, claim, keeps
 
 #: Chunks kept per process; the store is emptied when it is full, so memory does not grow with the corpus.
-CHUNKS = 1_000_000
+CHUNKS = 600_000
 #: Characters of a chunk that is still kept.
 LONGEST = 48
 #: Packers of a few ids into little-endian 32-bit bytes.
@@ -117,8 +117,12 @@ class ByteEncoder:
         return self._bytes(head) + b"".join(found)
 
 
+keeps("tokens", _loaded.clear)
+
+
 def shared(kind: str, path: str):
     """One encoder per process and file."""
+    claim("tokens")
     key = (kind, path)
     if key not in _loaded:
         _loaded[key] = {"word": WordCounter, "piece": PieceCounter, "byte": ByteEncoder}[kind](path)
