@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, keeps
+from .common import claim, keeps, trim
 
 #: Characters of labelled text that a language's automaton is built from, at most, and rows looked at to fill them.
 SAMPLE_CHARS = 24_000
@@ -17,7 +17,7 @@ SAMPLE_ROWS = 200
 #: Texts are parsed side by side in pieces of this many symbols; a phrase ends where its piece does, for every language alike.
 PIECE = 1024
 #: Characters parsed side by side, about.
-BATCH = 4 << 20
+BATCH = 1 << 20
 UNKNOWN = "und"
 RESULT = "lang string, score double"
 _automata: dict[int, tuple] = {}
@@ -106,8 +106,9 @@ class Parser:
         ends = np.cumsum(size)
         before[(ends - size)[size > 0]] = True
         keep = ~(blank & before)
-        kept = np.concatenate([[0], np.cumsum(keep)])
-        return raw[keep], kept[ends] - kept[ends - size]
+        kept = np.zeros(len(keep) + 1, np.int32)
+        np.cumsum(keep, out=kept[1:])
+        return raw[keep], (kept[ends] - kept[ends - size]).astype(np.int64)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases per text and language, and symbols per text."""
@@ -199,6 +200,8 @@ def language_column(text: Column, samples: dict[str, str]) -> Column:
             _automata[key] = Parser(samples)
         for part in parts:
             langs, scores = _automata[key].predict(part.tolist())
+            del part
+            trim()
             yield pd.DataFrame({"lang": langs, "score": scores})
 
     return detect(text)
