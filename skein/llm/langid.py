@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import claim, keeps, trim
@@ -162,23 +163,32 @@ class Parser:
 def sample(labelled: DataFrame, chars: int = SAMPLE_CHARS, rows: int = SAMPLE_ROWS) -> dict[str, str]:
     """Text per language for its automaton: whole texts in the order of their digests, until `chars` are gathered.
 
-    The bound is per language and does not grow with the corpus: at most `rows` texts of each
-    language, none longer than `chars`, leave the executors; each task keeps its best `rows` only.
+    The bound is per language and does not grow with the corpus: of at most `rows` distinct texts of
+    each language, none longer than `chars`, those that fill `chars` come to the driver. Each task
+    passes on the least `rows` digests of a language, the executors merge them in two steps, and
+    only texts of the digests left are read; copies of one text count once.
     """
-    body = labelled.where("text is not null and lang is not null").select("lang", "text")
-    body = body.where(F.length("text").between(1, chars)).withColumn("order", F.md5("text"))
-    names = [r[0] for r in body.select("lang").distinct().orderBy("lang").collect()]
-    out: dict[str, str] = {}
-    for name in names:
-        got: list[str] = []
-        size = 0
-        for r in body.where(F.col("lang") == name).orderBy("order").limit(rows).collect():
-            if r["text"] not in got and size < chars and any(map(str.isalpha, r["text"])):
-                got.append(r["text"])
-                size += len(r["text"])
-        if got:
-            out[name] = " ".join(got)
-    return out
+    body = labelled.where("text is not null and lang is not null").where(F.length("text").between(1, chars) & F.col("text").rlike(r"\p{L}"))
+    body = body.select("lang", "text", F.md5("text").alias("digest"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, list[str]] = {}
+        for batch in batches:
+            for name, part in batch.to_pandas().groupby("lang")["digest"]:
+                kept[name] = sorted({*kept.get(name, ()), *part})[:rows]
+        pairs = [(name, d) for name, some in kept.items() for d in some]
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["lang", "digest"])
+
+    few = body.select("lang", "digest").mapInArrow(least, "lang string, digest string").distinct()
+    for keys in (["lang", F.substring("digest", 1, 2)], ["lang"]):
+        few = few.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("digest"))).where(F.col("n") <= rows).drop("n")
+    texts = body.join(F.broadcast(few), ["lang", "digest"]).dropDuplicates(["lang", "digest"])
+    before = Window.partitionBy("lang").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    texts = texts.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("before") < chars)
+    out: dict[str, list[str]] = {}
+    for r in texts.orderBy("lang", "digest").select("lang", "text").collect():
+        out.setdefault(r["lang"], []).append(r["text"])
+    return {name: " ".join(got) for name, got in out.items()}
 
 
 def language_column(text: Column, samples: dict[str, str]) -> Column:
