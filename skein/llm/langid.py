@@ -172,6 +172,7 @@ def sample(labelled: DataFrame, chars: int = SAMPLE_CHARS, rows: int = SAMPLE_RO
     body = body.select("lang", "text", F.md5("text").alias("digest"))
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         kept: dict[str, list[str]] = {}
         for batch in batches:
             for name, part in batch.to_pandas().groupby("lang")["digest"]:

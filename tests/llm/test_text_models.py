@@ -122,3 +122,10 @@ def test_id_remainders(docs):
         assert r.m == (-1 if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 4)
 
 
+
+
+def test_language_sample_counts_copies_once(docs):
+    copies = ["the same line of text again"] * 40 + [f"another text number {n} of the language" for n in range(9)]
+    got = langid.sample(docs([*copies, "77 !", None], langs=["en"] * (len(copies) + 2)), rows=5)
+    assert got["en"].count("again") <= 1 and len(got["en"].split("another")) + got["en"].count("again") >= 5
+    assert langid.sample(docs([], langs=[])) == {}
