@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, claim, keeps
 
-#: Chunks kept per process; the store is emptied when it is full, so memory does not grow with the corpus.
-CHUNKS = 600_000
+#: Chunks of a generation of a process's store, which keeps two: memory does not grow with the corpus.
+CHUNKS = 120_000
 #: Characters of a chunk that is still kept.
 LONGEST = 48
 #: Packers of a few ids into little-endian 32-bit bytes.
@@ -44,6 +44,34 @@ class PieceCounter:
         return [len(self.model.encode(t, num_threads=1)) for t in texts]
 
 
+class ChunkStore:
+    """What chunks are encoded to, each encoded once while it stays in use.
+
+    A full generation becomes the older one and the one before it goes; chunks looked up in the
+    older one move to the younger, so frequent chunks are never lost.
+    """
+
+    def __init__(self, encode):
+        self.encode, self.young, self.old = encode, {}, {}
+
+    def look_up(self, chunks: list[str]) -> list:
+        found = list(map(self.young.get, chunks))
+        at = [i for i, value in enumerate(found) if value is None]
+        if at:
+            missing = dict.fromkeys([chunks[i] for i in at])
+            new = {c: v for c in missing if (v := self.old.get(c)) is not None}
+            fresh = [c for c in missing if c not in new]
+            for lo in range(0, len(fresh), 4096):
+                part = fresh[lo : lo + 4096]
+                new.update(zip(part, self.encode(part), strict=True))
+            for i in at:
+                found[i] = new[chunks[i]]
+            self.young.update((c, v) for c, v in new.items() if len(c) <= LONGEST)
+            if len(self.young) > CHUNKS:
+                self.young, self.old = {}, self.young
+        return found
+
+
 class WordCounter:
     """Counts under a tokenizer that drops white space before it merges: a text's count is the sum of its chunks'.
 
@@ -52,28 +80,11 @@ class WordCounter:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = load_tokenizer(path), {"": 0}
+        tokenizer = load_tokenizer(path)
+        self.store = ChunkStore(lambda chunks: map(len, tokenizer.encode_batch_fast(chunks, add_special_tokens=False)))
 
     def counts(self, texts: list[str]) -> list[int]:
-        out, known = [], self.known
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            found = list(map(known.get, chunks))
-            at = [i for i, n in enumerate(found) if n is None]
-            if at:
-                if len(known) > CHUNKS:
-                    known.clear()
-                    known[""] = 0
-                fresh = list(dict.fromkeys([chunks[i] for i in at]))
-                new: dict[str, int] = {}
-                for lo in range(0, len(fresh), 4096):
-                    part = fresh[lo : lo + 4096]
-                    new.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-                for i in at:
-                    found[i] = new[chunks[i]]
-                known.update(new if max(map(len, fresh)) <= LONGEST else {c: n for c, n in new.items() if len(c) <= LONGEST})
-            out.append(sum(found))
-        return out
+        return [sum(self.store.look_up(text.replace("\n", " ").split(" "))) for text in texts]
 
 
 class ByteEncoder:
@@ -88,33 +99,22 @@ class ByteEncoder:
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.special = [str(t) for t in (a.content for a in self.tokenizer.get_added_tokens_decoder().values())]
-        self.later: dict[str, bytes] = {}
+        self.store = ChunkStore(self._later)
 
     def _bytes(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _later(self, chunks: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False):
+            yield PACK[len(e)](*e.ids) if len(e) < len(PACK) else np.asarray(e.ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special) or ("  " in text or self.WHOLE.search(text)):
             return self._bytes(text)
         head, *chunks = text.split(" ")
-        known = self.later
-        found = list(map(known.get, chunks))
-        at = [i for i, ids in enumerate(found) if ids is None]
-        if at:
-            if len(known) > CHUNKS:
-                known.clear()
-            fresh = list(dict.fromkeys([chunks[i] for i in at]))
-            new: dict[str, bytes] = {}
-            for lo in range(0, len(fresh), 4096):
-                part = fresh[lo : lo + 4096]
-                encoded = self.tokenizer.encode_batch_fast([" " + c for c in part], add_special_tokens=False)
-                new.update(zip(part, (PACK[len(e)](*e.ids) if len(e) < len(PACK) else np.asarray(e.ids, "<u4").tobytes() for e in encoded), strict=True))
-            for i in at:
-                found[i] = new[chunks[i]]
-            known.update(new if max(map(len, fresh)) <= LONGEST else {c: v for c, v in new.items() if len(c) <= LONGEST})
-        return self._bytes(head) + b"".join(found)
+        return self._bytes(head) + b"".join(self.store.look_up(chunks))
 
 
 keeps("tokens", _loaded.clear)
