@@ -63,8 +63,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 0, do
                     size = 0
             if rows[0]:
                 yield flush()
-            del batch, rows, flush
-            trim()
+        trim()
 
     out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, schema)
     return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

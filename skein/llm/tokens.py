@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, claim, keeps
 
 #: Chunks of a generation of a process's store, which keeps two: memory does not grow with the corpus.
-CHUNKS = 400_000
+CHUNKS = 1_000_000
 #: Characters of a chunk that is still kept.
 LONGEST = 48
 #: Packers of a few ids into little-endian 32-bit bytes.
