@@ -94,7 +94,7 @@ class ByteEncoder:
     of the text); texts with such a run, or with a special string, are encoded whole.
     """
 
-    WHOLE = re.compile(r"\s (?:\s|$)")
+    WHOLE = re.compile(r" (?<=\s )(?:\s|$)")
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
