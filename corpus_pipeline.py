@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from skein.llm import decontam, jaccard, langid, packing, queries, repeats
 from skein.llm.common import Workspace, ship, table
 
+#: Words a shingle of the near-duplicate stage, and its least similarity; op2's are the operator's defaults.
+NEAR_WIDTH, NEAR_LEAST = 5, (80, 100)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart; those without a letter go."""
@@ -18,9 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of the n-gram Jaccard join; documents without an id stay."""
+    """The document of least id of each class of the Jaccard join of five words and 0.8; documents without an id stay."""
     ship(spark)
-    classes = jaccard.jaccard_classes(docs, Workspace(spark, "near"))
+    classes = jaccard.jaccard_classes(docs, Workspace(spark, "near"), NEAR_LEAST, NEAR_WIDTH)
     named = classes.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(named, "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy("text")

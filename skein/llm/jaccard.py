@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -64,19 +66,28 @@ def bands(n: int, least: tuple[int, int] = LEAST) -> list[tuple[int, int]]:
 
     Band b starts at size edge(b), each edge the least size that a set of the edge before cannot
     reach; sets that can be similar are thus in one band or in neighbours. Under band b two sets
-    differ in at most T shingles, so of T + 1 hash groups at least one holds the same shingles.
+    differ in at most T shingles, so of T + 1 or more hash groups at least one holds the same shingles.
     """
-    num, den = least
     if n == 0:
         return []
     own = band_of(n, least)
-    out = []
-    for b in (own, own - 1):
-        if b >= 0:
-            low = edge(b + 1, least) - 1
-            both = low + low * den // num
-            out.append((b, both * (den - num) // (den + num) + 1))
-    return out
+    return [(b, groups(b, least)) for b in (own, own - 1) if b >= 0]
+
+
+def apart(b: int, least: tuple[int, int] = LEAST) -> int:
+    """Shingles in which two similar sets posted under band b differ, at most."""
+    num, den = least
+    low = edge(b + 1, least) - 1
+    return (low + low * den // num) * (den - num) // (den + num)
+
+
+@cache
+def groups(b: int, least: tuple[int, int]) -> int:
+    """Hash groups of band b: so many that all but few of its sets have more than apart(b) groups that are not empty."""
+    n, k = edge(b, least), apart(b, least) + 1
+    while k - int((m := k * exp(-n / k)) + 3 * sqrt(m)) <= apart(b, least) and k < 2 * apart(b, least):
+        k += 1
+    return k
 
 
 _edges: dict[tuple[int, int], list[int]] = {}
@@ -99,7 +110,11 @@ def band_of(n: int, least: tuple[int, int] = LEAST) -> int:
 
 
 def signatures(s: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
-    """One hash for each hash group and band: equal if and (but for collisions) only if the groups' shingles are."""
+    """One hash for each hash group and band: equal if and (but for collisions) only if the groups' shingles are.
+
+    Of a set with more groups that are not empty than two similar sets can differ in, one of these is
+    the other set's as well, so its empty groups, which any two sets may share, are left out.
+    """
     if not len(s):
         return np.zeros(0, np.int64)
     sums = np.zeros(len(s) + 1, np.uint64)
@@ -112,7 +127,9 @@ def signatures(s: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
             _cuts[k] = np.asarray([(i << 64) // k for i in range(1, k)], np.uint64)
         at = np.concatenate([[0], np.searchsorted(s, _cuts[k]), [len(s)]])
         group = np.arange(k, dtype=np.uint64) + np.uint64(b << 40)
-        out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(group + np.uint64(1))))
+        posted = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(group + np.uint64(1)))
+        full = at[1:] > at[:-1]
+        out.append(posted[full] if full.sum() > apart(b, least) else posted)
     return np.concatenate(out).view(np.int64)
 
 
