@@ -13,9 +13,11 @@ NEAR_WIDTH, NEAR_LEAST = 5, (80, 100)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told apart; those without a letter go."""
+    """Documents whose language is told apart; those without a letter go, and only those if no language could be learned."""
     ship(spark)
     samples = langid.sample(docs.where(queries.id_crc("doc_id", 4) != 2))
+    if not samples:
+        return docs.where(langid.has_letter(F.col("text")))
     marked = docs.withColumn("__lang", langid.language_column(F.col("text"), samples))
     return marked.where(F.col("__lang.lang") != langid.UNKNOWN).drop("__lang")
 

@@ -163,35 +163,44 @@ class Parser:
 def sample(labelled: DataFrame, chars: int = SAMPLE_CHARS, rows: int = SAMPLE_ROWS) -> dict[str, str]:
     """Text per language for its automaton: whole texts in the order of their digests, until `chars` are gathered.
 
-    The bound is per language and does not grow with the corpus: of at most `rows` distinct texts of
-    each language, none longer than `chars`, those that fill `chars` come to the driver. Each task
-    passes on the least `rows` digests of a language, the executors merge them in two steps, and
-    only texts of the digests left are read; copies of one text count once.
+    Where a language's texts of at most `chars` do not fill it, longer ones do: of each, in the order
+    of their digests, the first `chars` characters, runs of anything but letters counted as one. The
+    bound is per language and does not grow with the corpus: of at most `rows` distinct texts of
+    either kind, those that fill `chars` come to the driver. Each task passes on the least `rows`
+    digests of a language and kind, the executors merge them in two steps, and only texts of the
+    digests left are read; copies of one text count once.
     """
-    body = labelled.where("text is not null and lang is not null").where(F.length("text").between(1, chars) & F.col("text").rlike(r"\p{L}"))
-    body = body.select("lang", "text", F.md5("text").alias("digest"))
+    body = labelled.where("text is not null and lang is not null").where(has_letter(F.col("text")))
+    body = body.select("lang", (F.length("text") > chars).alias("long"), F.md5("text").alias("digest"), "text")
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid")
-        kept: dict[str, list[str]] = {}
+        kept: dict[tuple[str, bool], list[str]] = {}
         for batch in batches:
-            for name, part in batch.to_pandas().groupby("lang")["digest"]:
-                kept[name] = sorted({*kept.get(name, ()), *part})[:rows]
-        pairs = [(name, d) for name, some in kept.items() for d in some]
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["lang", "digest"])
+            for key, part in batch.to_pandas().groupby(["lang", "long"])["digest"]:
+                kept[key] = sorted({*kept.get(key, ()), *part})[:rows]
+        found = [(*key, d) for key, some in kept.items() for d in some]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.string()))], names=["lang", "long", "digest"])
 
-    few = body.select("lang", "digest").mapInArrow(least, "lang string, digest string").distinct()
-    for keys in (["lang", F.substring("digest", 1, 2)], ["lang"]):
+    few = body.select("lang", "long", "digest").mapInArrow(least, "lang string, long boolean, digest string").distinct()
+    for keys in (["lang", "long", F.substring("digest", 1, 2)], ["lang", "long"]):
         few = few.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("digest"))).where(F.col("n") <= rows).drop("n")
-    texts = body.join(F.broadcast(few), ["lang", "digest"]).dropDuplicates(["lang", "digest"])
-    before = Window.partitionBy("lang").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    span = F.substring(F.ltrim(F.regexp_replace("text", r"\P{L}+", " ")), 1, chars)
+    texts = body.join(F.broadcast(few), ["lang", "long", "digest"]).withColumn("text", F.when(F.col("long"), span).otherwise(F.col("text")))
+    texts = texts.dropDuplicates(["lang", "long", "digest"])
+    before = Window.partitionBy("lang").orderBy("long", "digest").rowsBetween(Window.unboundedPreceding, -1)
     texts = texts.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("before") < chars)
+    texts = texts.withColumn("text", F.when(F.col("long"), F.expr(f"substring(text, 1, cast({chars} - before as int))")).otherwise(F.col("text")))
     out: dict[str, list[str]] = {}
-    for r in texts.orderBy("lang", "digest").select("lang", "text").collect():
+    for r in texts.orderBy("lang", "long", "digest").select("lang", "text").collect():
         out.setdefault(r["lang"], []).append(r["text"])
     return {name: " ".join(got) for name, got in out.items()}
 
 
+def has_letter(text: Column) -> Column:
+    return text.rlike(r"\p{L}")
+
+
 def language_column(text: Column, samples: dict[str, str]) -> Column:
     """struct(lang, score) of a text column.
 
