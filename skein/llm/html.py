@@ -27,6 +27,9 @@ NOISE = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 CONTENT = frozenset("article post entry story content main body text maincontent articlebody".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!?/?[a-zA-Z?](?:[^\"'>]|\"[^\"]*\"|'[^']*')*>|<[!?/][^>]*>|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: The end tag of each raw element, and what a script's end depends on: one that opens inside a comment hides its own end tag.
+ENDS = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in RAW}
+SCRIPT = re.compile(r"<!--|-->|<script(?=[\s/>])|</script(?=[\s/>])", re.I)
 HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""\shidden(?=[\s>=/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：、]")
@@ -68,18 +71,36 @@ def inside(element: Element | None, name: str) -> bool:
     return False
 
 
+def raw_end(html: str, name: str, at: int) -> int:
+    """Where the page goes on after the text of a raw element that begins at `at`; the page's end if nothing ends it."""
+    comment = nested = False
+    while name == "script" and (m := SCRIPT.search(html, at)):
+        mark = m[0].lower()
+        if mark == "</script" and not nested:
+            at = m.start()
+            break
+        # the dashes that open a comment may close it
+        at = m.start() + 2 if mark == "<!--" else m.end()
+        if mark == "-->":
+            comment = nested = False
+        elif mark == "<!--":
+            comment = True
+        else:
+            nested = mark == "<script" and comment
+    else:
+        if name == "script":
+            return len(html)
+    end = ENDS[name].search(html, at)
+    return end.end() if end else len(html)
+
+
 def text_nodes(html: str) -> list[tuple[str, Element, int, bool]]:
     """(text, leaf element, block number, noise) in page order, from a lenient reading that closes what authors leave open."""
     root = Element("html", None, False)
     stack, nodes, block = [root], [], 0
-    raw: str | None = None
-    for m in TOKEN.finditer(html):
-        token = m[0]
-        if raw:
-            if token[0] == "<" and token[1:2] == "/" and (n := NAME.match(token)) and n[1].lower() == raw:
-                raw = None
-            else:
-                continue
+    pos = 0
+    while m := TOKEN.match(html, pos):
+        token, pos = m[0], m.end()
         if token[0] != "<" or len(token) == 1:
             if stack[-1].name not in ("html",) or token.strip():
                 nodes.append((token, stack[-1], block, stack[-1].noise))
@@ -126,7 +147,7 @@ def text_nodes(html: str) -> list[tuple[str, Element, int, bool]]:
         parent = stack[-1]
         element = Element(name, parent, parent.noise or marked_noise(name, token, parent))
         if name in RAW:
-            raw = name
+            pos = raw_end(html, name, pos)
             continue
         stack.append(element)
     return nodes
