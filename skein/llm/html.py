@@ -34,8 +34,8 @@ HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 HIDDEN = re.compile(r"""\shidden(?=[\s>=/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：、]")
 WORDS = re.compile(r"[a-z]+")
-#: Width of the smoothing over neighbouring text nodes, and share of the selected weight that the article's container holds.
-SIGMA, HOLDS = 1.0, 0.9
+#: Width of the smoothing over neighbouring text nodes.
+SIGMA = 1.0
 
 
 class Element:
@@ -174,9 +174,9 @@ def main_text(html: str | None) -> str:
     """The article's blocks, one a line.
 
     Paths are thresholded at half their fused ratio's standard deviation (all the same: all are
-    kept); the article is the smallest container that holds nine tenths of the selected weight,
-    widened to the article or main element around it, and of it every node is kept that is not
-    marked as noise, so that short paragraphs of a chosen path's neighbours are not lost.
+    kept); the article is the smallest container that holds all that is selected, widened to the
+    article or main element around it, and of it every node is kept that is not marked as noise, so
+    that short paragraphs of a chosen path's neighbours are not lost.
     """
     nodes = text_nodes(html or "")
     fused = path_ratios(nodes)
@@ -184,7 +184,7 @@ def main_text(html: str | None) -> str:
         return ""
     live = fused[fused > 0]
     chosen = fused >= min(live.max(), live.std() / 2)
-    weight: dict[int, float] = defaultdict(float)
+    weight: dict[int, int] = defaultdict(int)
     elements: dict[int, Element] = {}
     for (text, leaf, _, _), score, use in zip(nodes, fused, chosen, strict=True):
         if use and score > 0:
@@ -194,9 +194,9 @@ def main_text(html: str | None) -> str:
                     elements[id(element)] = element
                     weight[id(element)] += mass
                 element = element.parent
-    total = max(weight.values(), default=0.0)
+    total = max(weight.values(), default=0)
     depth = lambda e: e.path.count("/")
-    home = max((elements[k] for k, w in weight.items() if w >= HOLDS * total), key=depth, default=None)
+    home = max((elements[k] for k, w in weight.items() if w == total), key=depth, default=None)
     element = home
     while element is not None:
         if element.name in ("article", "main"):
