@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import Workspace, components
+
 
 def stitch(events: DataFrame, gap: float = 120.0, least: float = 4.0) -> DataFrame:
     """media, id, s, e, label, words -> id, media, cluster: each event joins the current cluster or opens one.
@@ -60,36 +62,98 @@ def budget_batches(d: DataFrame, key: str, max_rows: int = 45, max_span: float =
     return d.groupBy(key).applyInPandas(fold, "id long, media long, batch long")
 
 
+def within_cutoff(d: DataFrame, cutoff: float, work: Workspace, rows: int = 2048) -> DataFrame:
+    """id, frame, v -> component, id, frame, v: what pairs of different frames within a cosine distance connect.
+
+    Rows are dealt into blocks of about `rows`; every pair of blocks is one group, which passes on a
+    spanning forest of its links, so edges stay linear in a group though all pairs are compared.
+    """
+    d = work.save(d.select("id", "frame", "v"), "rows")
+    blocks = max(1, -(-d.count() // rows))
+    block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
+    dealt = d.where("id is not null").withColumn("block", block).withColumn("pair", F.explode(pairs)).select("pair.x", "pair.y", "block", "id", "frame", "v")
+
+    def forest(rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        x = np.stack(rows["v"].to_list()).astype(float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        ids, frame, block = rows["id"].to_numpy(), pd.factorize(rows["frame"])[0], rows["block"].to_numpy()
+        # with two blocks only pairs across them: each block meets itself in a group of its own
+        across = rows["x"].iloc[0] != rows["y"].iloc[0]
+        unseen, a, b = np.ones(len(x), bool), [], []
+        for start in range(len(x)):
+            stack = [start] if unseen[start] else []
+            unseen[start] = False
+            while stack:
+                i = stack.pop()
+                near = unseen & (frame != frame[i])
+                if across:
+                    near &= block != block[i]
+                to = np.flatnonzero(near)
+                # a little above the cutoff: rounding may add a link, never lose one
+                to = to[1 - x[to] @ x[i] <= cutoff + 1e-9]
+                unseen[to] = False
+                a += [ids[i]] * len(to)
+                b += ids[to].tolist()
+                stack += to.tolist()
+        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+
+    links = work.save(dealt.groupBy("x", "y").applyInPandas(forest, "a long, b long"), "links")
+    found = components(links, work).toDF("id", "component")
+    return d.join(found, "id", "left").select(F.coalesce("component", "id").alias("component"), "id", "frame", "v")
+
+
 def average_linkage(d: DataFrame, cutoff: float) -> DataFrame:
     """component, id, frame, v -> id, cluster: average linkage by cosine up to a cutoff, never two of one frame together.
 
-    `component` must hold what allowed pairs within the cutoff connect; clusters never cross it.
+    `component` must hold what allowed pairs within the cutoff connect (see `within_cutoff`);
+    clusters never cross it. The mean distance of two clusters is 1 less the product of their mean
+    unit vectors, so a component's memory is linear in its rows; its time is not.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         rows = rows.sort_values("id").reset_index(drop=True)
+        n = len(rows)
         x = np.stack(rows["v"].to_list()).astype(float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        dist = 1 - x @ x.T
-        frame = rows["frame"].to_numpy()
-        apart = (frame[:, None] == frame[None, :]) & ~np.eye(len(x), dtype=bool)
-        sizes, live = np.ones(len(x)), list(range(len(x)))
-        parent = np.arange(len(x))
-        dist = np.where(apart, np.inf, dist)
-        np.fill_diagonal(dist, np.inf)
-        while len(live) > 1:
-            sub = dist[np.ix_(live, live)]
-            k = int(sub.argmin())
-            i, j = sorted((live[k // len(live)], live[k % len(live)]))
-            if dist[i, j] > cutoff:
-                break
-            dist[i] = dist[:, i] = (sizes[i] * dist[i] + sizes[j] * dist[j]) / (sizes[i] + sizes[j])
-            dist[i, i] = np.inf
+        frame = pd.factorize(rows["frame"], use_na_sentinel=False)[0]
+        of_frame = [np.flatnonzero(frame == f) for f in range(frame.max() + 1)]
+        frames = [{f} for f in frame.tolist()]
+        # sums of unit vectors, sizes, and each live cluster's nearest allowed one
+        sums, sizes, parent = x, np.ones(n), np.arange(n)
+        dead = np.zeros(n, bool)
+        near, least = np.zeros(n, np.int64), np.full(n, np.inf)
+
+        def distances(of: np.ndarray) -> np.ndarray:
+            dist = 1 - (sums[of] @ sums.T) / (sizes[of, None] * sizes)
+            for row, i in zip(dist, of.tolist(), strict=True):
+                for f in frames[i]:
+                    row[parent[of_frame[f]]] = np.inf
+            dist[:, dead] = np.inf
+            return dist
+
+        def renew(of: np.ndarray) -> None:
+            for lo in range(0, len(of), 256):
+                part = of[lo : lo + 256]
+                dist = distances(part)
+                near[part] = dist.argmin(1)
+                least[part] = dist.min(1)
+
+        renew(np.arange(n))
+        while least[k := int(least.argmin())] <= cutoff:
+            i, j = sorted((k, int(near[k])))
+            sums[i] += sums[j]
             sizes[i] += sizes[j]
+            frames[i] |= frames[j]
             parent[parent == j] = i
-            live.remove(j)
+            dead[j], least[j] = True, np.inf
+            # clusters whose nearest was one of the two; no other comes nearer by a merge
+            stale = np.flatnonzero(~dead & ((near == i) | (near == j)) & (least <= cutoff))
+            renew(np.union1d(stale, [i]))
         return pd.DataFrame({"id": rows["id"], "cluster": rows["id"].to_numpy()[parent]})
 
     return d.groupBy("component").applyInPandas(run, "id long, cluster long")

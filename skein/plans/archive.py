@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as sem
+from ..llm.common import Workspace
 from ..operators import aggregates as agg
 from ..operators import folds, search
 from ..operators import intervals as iv
@@ -440,8 +441,8 @@ def budget_batches(spark, sf_dir):
 
 @query()
 def constrained_hac(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("component"), F.col("vec_id").alias("id"), (F.col("vec_id") % 50).alias("frame"), F.col("embedding").alias("v"))
-    return folds.average_linkage(e, 0.9)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 50).alias("frame"), F.col("embedding").alias("v"))
+    return folds.average_linkage(folds.within_cutoff(e, 0.9, Workspace(spark, "hac")), 0.9)
 
 
 @query()
