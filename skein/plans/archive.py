@@ -460,5 +460,7 @@ def json_salvage(spark, sf_dir):
 @query()
 def subtitle_cues(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    cue = F.concat(F.lit("1\n00:00:0"), (F.col("turn") % 10).cast("string"), F.lit(",500 --> 00:01:00,000\n<i>"), F.substring("text", 1, 40), F.lit("</i>\n\n"))
+    # a blank line would end the cue, and a line of digits would be a counter
+    text = F.regexp_replace("text", r"[\r\n]+", " ")
+    cue = F.concat(F.lit("1\n00:00:0"), (F.col("turn") % 10).cast("string"), F.lit(",500 --> 00:01:00,000\n<i>"), text, F.lit("</i>\n\n"))
     return readers.subtitles(c.select("conv_id", "turn", cue.alias("value")))
