@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import Workspace, components
+from ..workspace import Workspace
+from .graph import components
 
 
 def stitch(events: DataFrame, gap: float = 120.0, least: float = 4.0) -> DataFrame:

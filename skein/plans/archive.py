@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as sem
-from ..llm.common import Workspace
 from ..operators import aggregates as agg
 from ..operators import folds, search
 from ..operators import intervals as iv
 from ..sources import readers
 from ..streaming.sessions import sessions
+from ..workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

@@ -3,9 +3,9 @@
 import numpy as np
 import pytest
 
-from skein.llm.common import Workspace
 from skein.operators import folds
 from skein.plans import archive
+from skein.workspace import Workspace
 
 SF = "/root/testdata/sf0.001"
 
