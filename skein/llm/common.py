@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import gc
 import os
-import uuid
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..workspace import Workspace
+
+__all__ = ["RollingHash", "Workspace", "claim", "components", "keeps", "mix", "orderable", "ship", "table", "trim"]
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -26,35 +30,6 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
-class Workspace:
-    """Tables written to the folder that driver and executors share (spark.checkpoint.dir).
-
-    A written table cuts the lineage: a lost executor costs only the running stage. The folder
-    falls back to /tmp/checkpoints where the session names none, as in local tests.
-    """
-
-    def __init__(self, spark: SparkSession, name: str, path: str | None = None):
-        base = path or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-        self.spark, self.path = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str, mode: str = "errorifexists") -> DataFrame:
-        df.write.mode(mode).parquet(f"{self.path}/{name}")
-        return self.read(name, df.schema)
-
-    def read(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-    def release(self) -> None:
-        """Have shuffle files of plans that are no longer referenced removed now, not at some later collection."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-
 _caches: dict[str, object] = {}
 _owner = ""
 
@@ -136,37 +111,6 @@ class RollingHash:
         return mix((sums[k:] - sums[:n]) * self.down[:n])
 
 
-def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component: the smallest node that each node of an edge list reaches.
-
-    Alternates large-star and small-star steps (Kiveris et al., 2014), each written to the shared
-    folder; both shuffle edges only and converge in a logarithmic number of rounds. Nodes may be
-    of any orderable type; null nodes are left out.
-    """
-    work = Workspace(work.spark, "components", work.path)
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    e = e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = work.save(e, "edges-0")
-    step = 0
-    while True:
-        both = e.union(e.select("b", "a")).toDF("a", "b")
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(low, "a").select(F.col("b").alias("x"), F.least("a", "m").alias("m")).where("x > m").distinct()
-        large = large.toDF("a", "b")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").union(low.select("a", "m"))
-        small = small.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct()
-        step += 1
-        new = work.save(small, f"edges-{step}")
-        changed = new.exceptAll(e).limit(1).count() + e.exceptAll(new).limit(1).count()
-        work.drop(f"edges-{step - 1}")
-        e = new
-        if not changed:
-            break
-    nodes = e.union(e.select("b", "b")).toDF("node", "component")
-    return nodes.distinct()
-
-
 def orderable(column):
     """Nulls last, for a total order over any id column."""
     return F.col(column).asc_nulls_last()
