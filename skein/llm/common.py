@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..workspace import Workspace
 
-__all__ = ["RollingHash", "Workspace", "claim", "components", "keeps", "mix", "orderable", "ship", "table", "trim"]
+__all__ = ["RollingHash", "Workspace", "claim", "components", "fresh", "keeps", "mix", "ship", "table", "trim"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -22,14 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session names no bound: rows may be long texts.
+ARROW_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even if only the driver's sys.path has it."""
+    """Let Python workers import this package even if only the driver's sys.path has it, and bound the batches they get."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a helper column that the table does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _caches: dict[str, object] = {}
 _owner = ""
 
@@ -109,8 +123,3 @@ class RollingHash:
     def windows(self, sums: np.ndarray, k: int) -> np.ndarray:
         n = len(sums) - k
         return mix((sums[k:] - sums[:n]) * self.down[:n])
-
-
-def orderable(column):
-    """Nulls last, for a total order over any id column."""
-    return F.col(column).asc_nulls_last()

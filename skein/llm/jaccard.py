@@ -10,14 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import RollingHash, Workspace, claim, components, keeps, mix, trim
 
 #: Words a shingle, and the least similarity as a fraction of whole numbers.
 WIDTH, LEAST = 3, (90, 100)
-#: Hash groups of a count vector, points in a leaf and nodes under a node of the R-tree, and points in a task's block.
-GROUPS, LEAF, BLOCK = 64, 32, 1024
+#: Hash groups of a count vector, points in a leaf and nodes under a node of the R-tree, and points in a task's block and their shingles, about.
+GROUPS, LEAF, BLOCK, VALUES = 64, 32, 1024, 2_000_000
+#: Postings that a task gathers before it sends them to their buckets.
+POSTED = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -227,75 +228,179 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, least: t
     return links
 
 
+#: Columns of the first pass: a document's size and set, a candidate edge (c1 to c2), or packed postings of a bucket.
+DEALT = "kind tinyint, bucket int, doc_id long, n long, c1 long, c2 long, packed binary"
+DOCUMENT, EDGE, POSTINGS = 0, 1, 2
+
+
+def dealt_rows(kind: int, bucket, doc_id=None, n=None, c1=None, c2=None, packed=None) -> pa.RecordBatch:
+    size = len(bucket)
+    kinds = {"kind": pa.int8(), "bucket": pa.int32(), "doc_id": pa.int64(), "n": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "packed": pa.binary()}
+    given = {"kind": np.full(size, kind, np.int8), "bucket": bucket, "doc_id": doc_id, "n": n, "c1": c1, "c2": c2, "packed": packed}
+    return pa.RecordBatch.from_arrays([pa.nulls(size, t) if given[c] is None else given[c] if isinstance(given[c], pa.Array) else pa.array(given[c], t) for c, t in kinds.items()], names=list(kinds))
+
+
+def met(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b) edges from each posting's owner to the least owner of its signature, without loops and repeats, and each signature once with that owner."""
+    order = np.argsort(sig)
+    sig, owner = sig[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    low = np.minimum.reduceat(owner, first) if len(first) else owner
+    size = np.diff(np.append(first, len(sig)))
+    many = np.flatnonzero(size > 1)
+    if not len(many):
+        return owner[:0], owner[:0], sig[first], low
+    mine = np.concatenate([owner[at : at + k] for at, k in zip(first[many].tolist(), size[many].tolist(), strict=True)])
+    theirs = np.repeat(low[many], size[many])
+    differ = mine != theirs
+    pairs = np.unique(np.stack([mine[differ], theirs[differ]], 1), axis=0) if differ.any() else np.zeros((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1], sig[first], low
+
+
+def post(batches: Iterator[pa.RecordBatch], least: tuple[int, int], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Sizes and set ids of (doc_id, text) rows, and the postings of the task's distinct sets, packed by bucket.
+
+    Postings of one signature that meet here are reduced to one and edges, so a signature that many
+    sets share leaves a task once for each POSTED postings, not once a set.
+    """
+    claim("jaccard")
+    seen: set[int] = set()
+    sigs: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
+    total = turn = 0
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        a, b, sig, owner = met(np.concatenate([*sigs, np.zeros(0, np.int64)]), np.concatenate([*owners, np.zeros(0, np.int64)]))
+        if len(a):
+            yield dealt_rows(EDGE, (np.arange(len(a)) % buckets).astype(np.int32), c1=a, c2=b)
+        # signatures are in order, so a bucket is a stretch of them
+        cuts = np.searchsorted(sig, np.asarray([(k << 64) // buckets - (1 << 63) for k in range(buckets)] + [(1 << 63) - 1], np.int64))
+        cuts[-1] = len(sig)
+        held = np.flatnonzero(np.diff(cuts))
+        for lo in range(0, len(held), 512):
+            some = held[lo : lo + 512]
+            yield dealt_rows(POSTINGS, some.astype(np.int32), packed=[sig[cuts[k] : cuts[k + 1]].tobytes() + owner[cuts[k] : cuts[k + 1]].tobytes() for k in some.tolist()])
+
+    for batch in batches:
+        for lo, hi in parts(batch.column(1)):
+            part = batch.slice(lo, hi - lo)
+            sets = shingle_hashes(part.column(1).to_pylist(), width)
+            ids = [set_id(s) for s in sets]
+            turn += 1
+            c1, c2 = (np.fromiter((i[k] for i in ids), np.int64, len(ids)) for k in (0, 1))
+            yield dealt_rows(DOCUMENT, ((np.arange(len(ids)) + turn * 7919) % buckets).astype(np.int32), part.column(0), np.fromiter(map(len, sets), np.int64, len(sets)), c1, c2)
+            for s, i in zip(sets, ids, strict=True):
+                if len(s) and i[0] not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(i[0])
+                    found = signatures(s, least)
+                    sigs.append(found)
+                    owners.append(np.full(len(found), i[0]))
+                    total += len(found)
+            if total > POSTED:
+                yield from flushed()
+                sigs, owners, total = [], [], 0
+    yield from flushed()
+    _hash.forget()
+    del sigs, owners, seen
+    trim()
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of each bucket's postings, which follow one another; rows of the other kinds pass."""
+    import pyarrow.compute as pc
+
+    claim("jaccard")
+    last, held = None, []
+
+    def solved() -> pa.RecordBatch:
+        whole = [np.frombuffer(x, np.int64) for x in held]
+        a, b, _, _ = met(np.concatenate([x[: len(x) // 2] for x in whole]), np.concatenate([x[len(x) // 2 :] for x in whole]))
+        return dealt_rows(EDGE, np.zeros(len(a), np.int32), c1=a, c2=b)
+
+    for batch in batches:
+        posted = pc.equal(batch.column(0), POSTINGS)
+        yield batch.filter(pc.invert(posted))
+        rows = batch.filter(posted)
+        for bucket, packed in zip(rows.column(1).to_pylist(), rows.column(6), strict=True):
+            if bucket != last:
+                if held:
+                    yield solved()
+                last, held = bucket, []
+            held.append(packed.as_py())
+    if held:
+        yield solved()
+    del held
+    trim()
+
+
 def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = LEAST, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the classes of the n-gram Jaccard join.
 
-    1. Each text's shingles are hashed once; equal sets collapse to one class each.
-    2. A class is posted under hashes of its hash groups (see `bands`): similar classes share at
-       least one. Classes that share any are one candidate cluster, found with linear edge lists.
+    1. Each text's shingles are hashed; equal sets are one class each. A class is posted under hashes
+       of its hash groups (see `bands`): similar classes share at least one. Postings go to buckets
+       of signatures once, packed, and meet there in classes' least neighbours.
+    2. Classes that share any signature are one candidate cluster, found with linear edge lists.
     3. A cluster's sets become points, counts of their shingles in GROUPS hash groups; R-trees bound
-       overlaps by summed minima, and survivors are verified on whole sets. A cluster above BLOCK
-       sets is dealt as pairs of blocks, so a task's memory does not follow the cluster's size.
+       overlaps by summed minima, and survivors are verified on whole sets. Sets meet those of their
+       own size band and the next one; a band of more than BLOCK sets, or of VALUES shingles, is
+       dealt as pairs of blocks, so a task's memory does not follow the cluster's size.
     4. Found links and equal sets give the components.
 
     No link between different texts is lost. A null or empty text has the empty set and is its own
-    component. A null doc_id is never a component's name while another id is in it; alone it has the
-    null component. Rows with the same id are one document to the components. Extra columns are
-    ignored. Only set hashes are compared: 64 bits a shingle, 128 bits a set.
+    component; a very long text is one set in memory. A null doc_id is never a component's name while
+    another id is in it; alone it has the null component. Rows with the same id are one document to
+    the components; an empty table gives no rows. Extra columns are ignored. Only set hashes are
+    compared: 64 bits a shingle, 128 bits a set.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    buckets = min(1 << 16, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def shingled(with_sets: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            claim("jaccard")
-            for batch in batches:
-                for lo, hi in parts(batch.column(1)):
-                    part = batch.slice(lo, hi - lo)
-                    sets = shingle_hashes(part.column(1).to_pylist(), width)
-                    ids = [set_id(s) for s in sets]
-                    listed = [s.view(np.int64) for s in sets] if with_sets else [signatures(s, least) for s in sets]
-                    ends = np.cumsum([0, *map(len, listed)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*listed, np.zeros(0, np.int64)])))],
-                        names=["doc_id", "n", "c1", "c2", "listed"],
-                    )
-            _hash.forget()
-            trim()
-
-        return run
-
-    out = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n", "c1", "c2")), T.StructField("listed", T.ArrayType(T.LongType()))])
-    posted = work.save(rows.mapInArrow(shingled(False), out), "posted")
-    sized = work.save(posted.select("doc_id", "n", "c1", "c2"), "sized")
-    classes = posted.where("n > 0").groupBy("c1", "c2").agg(F.first("listed").alias("listed"), F.min("doc_id").alias("rep"))
-    dealt = classes.select("c1", "c2", F.explode("listed").alias("sig"))
-    shared = dealt.groupBy("sig").agg(F.min(F.struct("c1", "c2")).alias("b"), F.count("*").alias("k")).where("k > 1")
-    # the smallest and any other class of a group: all of a group's classes meet in its smallest
-    edges = dealt.join(shared, "sig").select(F.struct("c1", "c2").alias("a"), "b").where("a <> b").distinct()
-    edges = work.save(edges, "candidate-edges")
-    del classes, dealt, shared
-    work.drop("posted")
+    dealt = rows.mapInArrow(lambda batches: post(batches, least, width, buckets), DEALT).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = work.save(dealt.mapInArrow(meet, DEALT).select("kind", "doc_id", "n", "c1", "c2"), "dealt")
     work.release()
-    clusters = work.save(components(edges, work), "clusters")
-    member = clusters.select("node.c1", "node.c2", F.col("component").alias("cluster"))
-    size = member.groupBy("cluster").agg(F.count("*").alias("members"))
-    reps = sized.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
-    member = member.join(reps, ["c1", "c2"]).join(size, "cluster")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    member = work.save(member.withColumn("blocks", blocks).withColumn("block", F.pmod("c1", "blocks").cast("int")), "members")
+    sized = dealt.where(F.col("kind") == DOCUMENT).select("doc_id", "n", "c1", "c2")
+    clusters = work.save(components(dealt.where(F.col("kind") == EDGE).select("c1", "c2"), work, "c1", "c2").toDF("c1", "cluster"), "clusters")
+    reps = sized.where("n > 0").groupBy("c1", "c2").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    edge(0, least)
+    band_of(1 << 40, least)
+    band = (F.size(F.filter(F.lit(_edges[least]), lambda e: e <= F.col("n"))) - 1).cast("int")
+    member = work.save(reps.join(clusters, "c1").withColumn("band", band), "members")
+    # a band's sets meet one another and, as visitors, those of the band below: similar sets are never further apart
+    stays = member.select("cluster", "c1", "c2", "n", "band", F.lit(False).alias("visits"))
+    stays = stays.unionByName(stays.withColumn("band", F.col("band") - 1).withColumn("visits", F.lit(True)))
+    size = stays.groupBy("cluster", "band").agg(F.count("*").alias("members"), F.sum("n").alias("values"), F.count_if(~F.col("visits")).alias("home"))
+    size = size.where("home > 0 and members > 1").withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("values") / VALUES)).cast("int"))
+    size = work.save(size.select("cluster", "band", "blocks"), "sizes")
+    stays = work.save(stays.join(size, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("c1", "c2"), "blocks").cast("int")), "stays")
     named = member.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct()
     wanted = rows.join(named, "doc_id", "left_semi")
     if member.where("rep is null").limit(1).count():
         wanted = wanted.unionByName(rows.where("doc_id is null"))
-    sets = wanted.mapInArrow(shingled(True), out).select("c1", "c2", "listed").dropDuplicates(["c1", "c2"])
-    sets = member.select("cluster", "c1", "c2", "block", "blocks").join(sets, ["c1", "c2"])
-    # a block meets itself and every later block of its cluster, as (least, greatest) pairs
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
+        for batch in batches:
+            for lo, hi in parts(batch.column(0)):
+                sets = shingle_hashes(batch.column(0).slice(lo, hi - lo).to_pylist(), width)
+                ids = [set_id(s) for s in sets]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))], names=["c1", "c2", "listed"])
+        _hash.forget()
+        trim()
+
+    sets = wanted.select("text").mapInArrow(whole_sets, "c1 long, c2 long, listed array<long>").dropDuplicates(["c1", "c2"])
+    sets = stays.join(sets, ["c1", "c2"])
+    # a block meets itself and every later block of its band, as (least, greatest) pairs
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    sets = sets.withColumn("pair", F.explode(pairs)).select("cluster.c1", "cluster.c2", "pair.x", "pair.y", "block", F.struct("c1", "c2").alias("id"), "listed").toDF("k1", "k2", "x", "y", "block", "id", "listed")
-    sets = sets.repartition("k1", "k2", "x", "y").sortWithinPartitions("k1", "k2", "x", "y", "block")
-    found = sets.mapInArrow(lambda batches: links_of(batches, least), "a struct<c1:long,c2:long>, b struct<c1:long,c2:long>")
-    links = work.save(found, "links")
+    sets = sets.withColumn("pair", F.explode(pairs)).select("cluster", "band", "pair.x", "pair.y", "block", "visits", "c1", "c2", "listed")
+    keys = ["cluster", "band", "x", "y"]
+    sets = sets.repartition(*keys).sortWithinPartitions(*keys, "visits", "block")
+    links = work.save(sets.mapInArrow(lambda batches: links_of(batches, least), LINKS), "links")
+    del sets, wanted, stays
+    work.release()
     linked = components(links, work).select("node.c1", "node.c2", F.col("component").alias("class"))
     linked = reps.join(linked, ["c1", "c2"], "left").withColumn("class", F.coalesce("class", F.struct("c1", "c2")))
     # an id on rows with different texts joins their classes as well
@@ -312,8 +417,8 @@ def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = L
     return joined.unionByName(sized.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def parts(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch that hold some MB of text each, one row at least."""
+def parts(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch that hold about a MB of text each, one row at least."""
     import pyarrow.compute as pc
 
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
@@ -327,27 +432,45 @@ def parts(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
         yield lo, len(lengths)
 
 
+LINKS = "a struct<c1:long,c2:long>, b struct<c1:long,c2:long>"
+
+
 def links_of(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Links of each pair of blocks in a partition sorted by cluster, pair and block."""
+    """Links of each pair of blocks in a partition sorted by cluster, band and pair; two visitors of a band meet in their own."""
     kind = pa.struct([("c1", pa.int64()), ("c2", pa.int64())])
-
-    def solved(key, left: list, right: list) -> pa.RecordBatch:
-        sets, ids = [x[1] for x in left + right], [x[0] for x in left + right]
-        if key[2] == key[3]:
-            got = block_links(sets, None, least)
+    key, held = None, []
+
+    def solved() -> Iterator[pa.RecordBatch]:
+        # held: (visits, block, id, set); within one block all at home against all, else each side's home against the other side
+        out: list[tuple] = []
+        x, y = key[2:]
+        home, guests = ([h for h in held if h[0] == v] for v in (False, True))
+
+        def join(left: list, right: list | None) -> None:
+            if left and (right or right is None):
+                both = left + (right or [])
+                out.extend((both[i][2], both[j][2]) for i, j in block_links([h[3] for h in left], None if right is None else [h[3] for h in right], least))
+
+        if x == y:
+            join(home, None)
+            join(guests, home)
         else:
-            got = block_links(sets[: len(left)], sets[len(left) :], least) if left and right else []
-        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in got], kind), pa.array([ids[j] for _, j in got], kind)], names=["a", "b"])
+            of = lambda some, b: [h for h in some if h[1] == b]
+            join(of(home, x), of(home, y))
+            join(of(home, x), of(guests, y))
+            join(of(guests, x), of(home, y))
+        yield pa.RecordBatch.from_arrays([pa.array([dict(c1=e[k][0], c2=e[k][1]) for e in out], kind) for k in (0, 1)], names=["a", "b"])
 
-    key, left, right = None, [], []
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(6)]
-        values, ends = batch.column(6).values.to_numpy(), batch.column(6).offsets.to_numpy()
-        for r, (k1, k2, x, y, block, one) in enumerate(zip(*columns, strict=True)):
-            if (k1, k2, x, y) != key:
+        columns = [batch.column(i).to_pylist() for i in range(8)]
+        values, ends = batch.column(8).values.to_numpy(), batch.column(8).offsets.to_numpy()
+        for r, (*now, block, visits, c1, c2) in enumerate(zip(*columns, strict=True)):
+            if now != key:
                 if key is not None:
-                    yield solved(key, left, right)
-                key, left, right = (k1, k2, x, y), [], []
-            (left if block == x else right).append((one, values[ends[r] : ends[r + 1]].copy().view(np.uint64)))
+                    yield from solved()
+                key, held = now, []
+            held.append((visits, block, (c1, c2), values[ends[r] : ends[r + 1]].copy().view(np.uint64)))
     if key is not None:
-        yield solved(key, left, right)
+        yield from solved()
+    del held
+    trim()

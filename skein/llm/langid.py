@@ -15,7 +15,7 @@ from .common import claim, keeps, trim
 #: Characters of labelled text that a language's automaton is built from, at most, and rows looked at to fill them.
 SAMPLE_CHARS = 24_000
 SAMPLE_ROWS = 200
-#: Texts are parsed side by side in pieces of this many symbols; a phrase ends where its piece does, for every language alike.
+#: Texts are parsed side by side in pieces of this many symbols, whose seams are parsed again until they agree with an unbroken parse.
 PIECE = 1024
 #: Characters parsed side by side, about.
 BATCH = 1 << 20
@@ -109,10 +109,21 @@ class Parser:
         keep = ~(blank & before)
         kept = np.zeros(len(keep) + 1, np.int32)
         np.cumsum(keep, out=kept[1:])
-        return raw[keep], (kept[ends] - kept[ends - size]).astype(np.int64)
+        codes, sizes = raw[keep], (kept[ends] - kept[ends - size]).astype(np.int64)
+        # a text's last blank goes as well
+        last = (np.cumsum(sizes) - 1)[sizes > 0]
+        drop = last[codes[last] == self.blank]
+        sizes[np.flatnonzero(sizes > 0)[codes[last] == self.blank]] -= 1
+        return np.delete(codes, drop) if len(drop) else codes, sizes
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases per text and language, and symbols per text."""
+        """Phrases per text and language, and symbols per text.
+
+        Pieces are parsed from the root at first. A piece that its predecessor does not leave at the
+        root is then parsed again from the state it leaves, beside the earlier parse, until both are
+        in one state, from which on they are the same; where they meet nowhere, the piece ends in
+        another state and its successor's turn comes. So the counts are those of whole texts.
+        """
         n = len(texts)
         codes, sizes = self.codes(texts)
         counts = np.zeros((n, len(self.languages)), np.int64)
@@ -125,18 +136,40 @@ class Parser:
         start = begins[owner] + rank * PIECE
         length = np.minimum(sizes[owner] - rank * PIECE, PIECE)
         order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
+        sorted_start, sorted_length = start[order], length[order]
+        ends_text = np.append(rank[1:] == 0, True)
         for k, table in enumerate(self.tables):
             state = np.zeros(len(owner), np.int32)
-            broken = np.ones(len(owner), np.int64)
+            broken = np.zeros(len(owner), np.int64)
             live = len(owner)
-            for at in range(int(length[0])):
-                while length[live - 1] <= at:
+            for at in range(int(sorted_length[0])):
+                while sorted_length[live - 1] <= at:
                     live -= 1
-                entry = table[state[:live] + codes[start[:live] + at]]
+                entry = table[state[:live] + codes[sorted_start[:live] + at]]
                 broken[:live] += entry & 3
                 state[:live] = entry >> 2
-            counts[:, k] = np.bincount(owner, broken, n).astype(np.int64)
+            end, found = np.empty_like(state), np.empty_like(broken)
+            end[order], found[order] = state, broken
+            entered = np.zeros(len(owner), np.int32)
+            again = np.flatnonzero((rank > 0) & (np.append(np.int32(0), end[:-1]) != 0))
+            while len(again):
+                new, old = end[again - 1], entered[again]
+                entered[again] = new
+                at, live = 0, np.arange(len(again))
+                while len(live):
+                    symbol = codes[start[again[live]] + at]
+                    a, b = table[new[live] + symbol], table[old[live] + symbol]
+                    found[again[live]] += (a & 3).astype(np.int64) - (b & 3)
+                    new[live], old[live] = a >> 2, b >> 2
+                    at += 1
+                    live = live[(new[live] != old[live]) & (length[again[live]] > at)]
+                apart = again[new != old]
+                end[apart] = new[new != old]
+                again = apart[~ends_text[apart]] + 1
+            # the first phrase begins with the text; one that would begin after its last symbol is none
+            counts[:, k] = np.bincount(owner, found, n).astype(np.int64)
+            counts[sizes > 0, k] += 1
+            counts[owner[ends_text & (end == 0)], k] -= 1
         return counts, sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

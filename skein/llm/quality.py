@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
-from .toxicity import Trees
+from .common import Workspace, fresh
+from .toxicity import LONGEST, Trees
 
 #: Bounds of the labelled sample that the document classifier learns from: rows, and characters of their texts.
 MAX_ROWS, MAX_CHARS = 4000, 20_000_000
@@ -38,22 +38,23 @@ def matrix(texts) -> np.ndarray:
     return np.asarray([features(t) for t in texts], np.float64).reshape(len(texts), 14)
 
 
-def evidence_column(text: Column, labelled: DataFrame, rows: int = MAX_ROWS, chars: int = MAX_CHARS) -> tuple[Column, float]:
+def evidence_column(text: Column, labelled: DataFrame, rows: int = MAX_ROWS, chars: int = MAX_CHARS, longest: int = LONGEST) -> tuple[Column, float]:
     """Classifier probability of a good document, and the share of good ones it was learnt at.
 
     Boosted trees over shape features, fitted on the driver from at most `rows` labelled texts of
-    `chars` characters in all, in the order of their digests. Without both labels every document
-    has the same probability.
+    `chars` characters in all and `longest` in one, in the order of their digests. Without both
+    labels every document has the same probability.
     """
-    picked = labelled.where("quality in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("int").alias("quality"))
-    picked = picked.where(F.length("text") <= chars // 10).withColumn("order", F.md5("text")).orderBy("order", "quality").limit(rows)
+    body, label, order = (fresh(labelled, c) for c in ("learn_text", "learn_label", "learn_order"))
+    picked = labelled.where("quality in (0, 1)").select(F.coalesce("text", F.lit("")).alias(body), F.col("quality").cast("int").alias(label))
+    picked = picked.where(F.length(body) <= longest).withColumn(order, F.md5(body)).orderBy(order, label).limit(rows)
     x, y, total = [], [], 0
     for r in picked.toLocalIterator():
-        total += len(r["text"])
+        total += len(r[body])
         if total > chars:
             break
-        x.append(features(r["text"]))
-        y.append(r["quality"])
+        x.append(features(r[body]))
+        y.append(r[label])
     prior = (sum(y) + 1) / (len(y) + 2)
     if len(set(y)) < 2 or len(y) < 8:
         return F.lit(prior), prior
@@ -70,12 +71,13 @@ def evidence_column(text: Column, labelled: DataFrame, rows: int = MAX_ROWS, cha
     return evidence(text), prior
 
 
-def strength(sites: DataFrame, mean: float) -> float:
-    """Pseudo-counts of the Beta prior over sites, by moments: large where sites differ no more than chance would have it."""
-    m = sites.where("n > 1").agg(F.count("*").alias("k"), F.avg(F.pow(F.col("good") / F.col("n") - mean, 2)).alias("v"), F.avg(mean * (1 - mean) / F.col("n")).alias("noise")).first()
+def strength(sites: DataFrame, centre: Column) -> float:
+    """Pseudo-counts of the Beta prior of sites around their centre, by moments: large where sites differ no more than chance would have it."""
+    d = F.col("good") / F.col("n") - centre
+    m = sites.where("n > 1").agg(F.count("*").alias("k"), F.avg(d * d).alias("v"), F.avg(centre * (1 - centre)).alias("spread"), F.avg(centre * (1 - centre) / F.col("n")).alias("noise")).first()
     if not m["k"] or m["k"] < 2 or m["v"] <= m["noise"]:
         return KAPPA[1]
-    return float(min(max(mean * (1 - mean) / (m["v"] - m["noise"]) - 1, KAPPA[0]), KAPPA[1]))
+    return float(min(max(m["spread"] / (m["v"] - m["noise"]) - 1, KAPPA[0]), KAPPA[1]))
 
 
 def quality(docs: DataFrame, labelled: DataFrame, host: Column, path: Column, work: Workspace, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,8 +87,9 @@ def quality(docs: DataFrame, labelled: DataFrame, host: Column, path: Column, wo
     posterior shrinks towards the global mean by `strength`, a path's towards its host's; a
     document's own probability is left out of its sites. The score adds the evidence's log-odds
     over the global prior to the path posterior's. Null hosts and paths are sites of their own; a
-    null text is empty; a site of one document has its parent's prior; repeated rows stay. Driver
-    memory holds the labelled sample and four numbers only.
+    null text is empty and a very long one is read whole; a site of one document has its parent's
+    prior; repeated rows stay and equal ones score alike; an empty table gives no rows; other columns
+    are ignored, whatever their names. Driver memory holds the labelled sample and a few numbers only.
     """
     p, prior = evidence_column(F.col(text), labelled)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), p.alias("evidence"))
@@ -96,8 +99,10 @@ def quality(docs: DataFrame, labelled: DataFrame, host: Column, path: Column, wo
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     mean = min(max(total["good"] / total["n"], EDGE), 1 - EDGE) if total["n"] else prior
-    k_host, k_path = strength(hosts, mean), strength(paths, mean)
+    k_host = strength(hosts, F.lit(mean))
     sites = paths.join(hosts.select("host", F.col("n").alias("hn"), F.col("good").alias("hg")), "host")
+    # paths shrink towards their host, so it is around their host that they are measured
+    k_path = strength(sites, (F.col("hg") + k_host * mean) / (F.col("hn") + k_host))
     out = rows.join(sites, ["host", "path"])
     own = F.col("evidence")
     out = out.withColumn("host_prior", (F.col("hg") - own + k_host * mean) / (F.col("hn") - 1 + k_host))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, Workspace, claim, keeps, trim
+from .common import RollingHash, Workspace, claim, fresh, keeps, trim
 from .jaccard import parts
 
 #: Bytes of a string whose second occurrence is removed, and of the minimiser chosen within it.
@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
     rows remove each other; other columns pass through, but for those three names. Very
     long texts are processed alone; buckets above IN_MEMORY segments keep their columns in files.
     """
-    docs = docs.drop("kept", "kept_text", "spans", "__h")
+    docs = docs.drop("kept", "kept_text", "spans")
     body = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.md5(body))
     texts = docs.select(digest.alias("h"), body.alias("text"))
@@ -220,7 +220,7 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
                     seen.clear()
                 seen.add(h)
             batch = batch.filter(pa.array(fresh))
-            for lo, hi in parts(batch.column(1), 2 << 20):
+            for lo, hi in parts(batch.column(1)):
                 raw = [t.as_buffer().to_pybytes() for t in batch.column(1).slice(lo, hi - lo).cast(pa.binary())]
                 t, start, end, place, key = segments(raw, length, gram)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(t)), pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(place.astype(np.int32))], names=["h", "key", "s", "e", "p"])
@@ -335,14 +335,16 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
                 spans.append(None if gone is None else [{"start": a, "end": b} for a, b in gone])
             yield pd.DataFrame({"kept": kept, "kept_text": [None if k is None else k.decode("utf-8", "ignore") for k in kept], "spans": spans})
 
-    whole = copies.where("copies > 1").select("h", F.lit(True).alias("gone"))
-    marks = found.select("h", "ranges").withColumn("gone", F.lit(False)).unionByName(whole.select("h", "gone").withColumn("ranges", F.lit(None).cast(found.schema["ranges"].dataType)))
-    rows = docs.withColumn("__h", digest).join(marks.select(F.col("h").alias("__h"), "ranges", "gone"), "__h", "left").drop("__h")
-    touched = F.col("ranges").isNotNull()
-    rows = rows.withColumn("__cut", cut_out(F.when(touched, body), F.col("ranges")))
+    # helper columns go by names that the table does not have; the three results are made beside them
+    h, ranges, gone, done = (fresh(docs, c) for c in ("text_digest", "cut_ranges", "cut_whole", "cut_done"))
+    whole = copies.where("copies > 1").select(F.col("h").alias(h), F.lit(None).cast(found.schema["ranges"].dataType).alias(ranges), F.lit(True).alias(gone))
+    marks = found.select(F.col("h").alias(h), F.col("ranges").alias(ranges), F.lit(False).alias(gone)).unionByName(whole)
+    rows = docs.withColumn(h, digest).join(marks, h, "left").drop(h)
+    touched = F.col(ranges).isNotNull()
+    rows = rows.withColumn(done, cut_out(F.when(touched, body), F.col(ranges)))
     empty = F.array().cast("array<struct<start:long,end:long>>")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length(body).cast("long").alias("end")))
-    rows = rows.withColumn("kept", F.when(touched, F.col("__cut.kept")).when(F.col("gone"), F.lit(b"")).otherwise(body.cast("binary")))
-    rows = rows.withColumn("kept_text", F.when(touched, F.col("__cut.kept_text")).when(F.col("gone"), F.lit("")).otherwise(body))
-    rows = rows.withColumn("spans", F.when(touched, F.col("__cut.spans")).when(F.col("gone"), all_of_it).otherwise(empty))
-    return rows.drop("__cut", "ranges", "gone")
+    rows = rows.withColumn("kept", F.when(touched, F.col(f"{done}.kept")).when(F.col(gone), F.lit(b"")).otherwise(body.cast("binary")))
+    rows = rows.withColumn("kept_text", F.when(touched, F.col(f"{done}.kept_text")).when(F.col(gone), F.lit("")).otherwise(body))
+    rows = rows.withColumn("spans", F.when(touched, F.col(f"{done}.spans")).when(F.col(gone), all_of_it).otherwise(empty))
+    return rows.drop(done, ranges, gone)

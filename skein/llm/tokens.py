@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, claim, keeps
+from .common import Workspace, claim, fresh, keeps
 
 #: Chunks of a generation of a process's store, which keeps two: memory does not grow with the corpus.
 CHUNKS = 1_000_000
@@ -174,9 +174,11 @@ def token_counts(docs: DataFrame, tokenizer: str, work: Workspace, cache: str |
         for part in parts:
             yield pd.Series(counter.counts(part.tolist()), dtype="int64")
 
-    texts.select(F.lit(version).alias("version"), "digest", count("text").alias("n_tokens")).write.mode("append").parquet(path)
+    # one folder a version: a reader of this one never opens counts of another
+    texts.select(F.lit(version).alias("version"), "digest", count("text").alias("n_tokens")).write.mode("append").partitionBy("version").parquet(path)
+    key = fresh(docs, "text_digest")
     now = spark.read.schema(CACHE).parquet(path).where(F.col("version") == version)
-    now = now.groupBy(F.col("digest").alias("__digest")).agg(F.max("n_tokens").alias("n_tokens"))
-    keep = [c for c in docs.columns if c != text]
-    rows = docs.select(*keep, F.octet_length(body).cast("long").alias("n_bytes"), digest.alias("__digest"))
-    return rows.join(now, "__digest").drop("__digest")
+    now = now.groupBy(F.col("digest").alias(key)).agg(F.max("n_tokens").alias("n_tokens"))
+    keep = [docs[c] for c in docs.columns if c != text]
+    rows = docs.select(*keep, F.octet_length(body).cast("long").alias("n_bytes"), digest.alias(key))
+    return rows.join(now, key).drop(key)

@@ -8,15 +8,19 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample that leaves the executors: rows, and characters of their texts.
+from .common import fresh
+
+#: Bounds of the labelled sample that leaves the executors: rows, characters of their texts, and of the longest text in it.
 MAX_ROWS = 4000
 MAX_CHARS = 20_000_000
+LONGEST = 2_000_000
 TREES, DEPTH, BINS, RATE = 80, 3, 32, 0.15
 #: Fixed sample values: words of direct address, and characters that stand for letters.
 ADDRESS = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine euch ihr usted ustedes ti tus vosotros".split())
@@ -31,6 +35,12 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 _models: dict[int, object] = {}
 
 
+@cache
+def upper_table() -> np.ndarray:
+    """Whether a code point is a capital, of any script."""
+    return np.fromiter((chr(i).isupper() for i in range(0x110000)), bool, 0x110000)
+
+
 def plain(word: str) -> str:
     """Letters of a word in lower case, from its first to its last, marks between them dropped."""
     word = word.lower()
@@ -112,7 +122,7 @@ class Features:
             at = np.searchsorted(you, strong)
             gap = np.minimum(np.abs(you[np.minimum(at, len(you) - 1)] - strong), np.abs(you[np.maximum(at - 1, 0)] - strong))
             near = int((gap <= NEAR).sum())
-        capitals = sum(map(str.isupper, text)) if len(text) < 200 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+        capitals = int(upper_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].sum())
         marks = sum(text.count(c) for c in ".,;:!?")
         out = [v for c in counts for v in (float(c), c / n)]
         return [*out, near, near / n, float(weight.sum()) / n, float(weight.max(initial=0)), capitals / size, float((facts & 32 > 0).mean()) if words else 0.0, marks / size, text.count("!") / size, float((facts & 16 > 0).mean()) if words else 0.0, sum(text.count(c) for c in "#$%&*@^~|") / size, math.log1p(len(words)), size / n]
@@ -136,6 +146,9 @@ class Trees:
         cuts = [np.unique(np.concatenate([k, np.quantile(c[c > 0], np.linspace(0, 1, 9)[:-1]) - 1e-12])) if (c > 0).any() else k for k, c in zip(cuts, x.T, strict=True)]
         bins = np.stack([np.searchsorted(k, c, side="left") for k, c in zip(cuts, x.T, strict=True)], 1)
         width = max(map(len, cuts)) + 2
+        # one count over (feature, bin) for all features of a node's rows
+        flat = bins + np.arange(bins.shape[1]) * width
+        shape = (bins.shape[1], width)
         p = min(max(y.mean(), 1e-3), 1 - 1e-3)
         trees = Trees(cuts, [], math.log(p / (1 - p)))
         score = np.full(len(y), trees.base)
@@ -149,15 +162,15 @@ class Trees:
                 best = (1e-6, 0, width)
                 if len(rows) >= 10:
                     gs, hs = g[rows].sum(), h[rows].sum()
-                    for f in range(bins.shape[1]):
-                        b = bins[rows, f]
-                        gl, hl = np.bincount(b, g[rows], width).cumsum(), np.bincount(b, h[rows], width).cumsum()
-                        nl = np.bincount(b, minlength=width).cumsum()
-                        gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                        gain[(nl < 4) | (len(rows) - nl < 4)] = 0
-                        k = int(gain.argmax())
-                        if gain[k] > best[0]:
-                            best = (gain[k], f, k)
+                    at_bins = flat[rows].T.ravel()
+                    sums = lambda w: np.bincount(at_bins, w, shape[0] * width).reshape(shape).cumsum(1)  # noqa: B023, E731
+                    gl, hl = sums(np.tile(g[rows], shape[0])), sums(np.tile(h[rows], shape[0]))
+                    nl = sums(None)
+                    gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+                    gain[(nl < 4) | (len(rows) - nl < 4)] = 0
+                    k = int(gain.argmax())
+                    if gain.flat[k] > best[0]:
+                        best = (gain.flat[k], k // width, k % width)
                 _, feature[node], cut[node] = best
                 at[rows] = 2 * node + (bins[rows, best[1]] > best[2])
             final = at - 2**DEPTH
@@ -223,24 +236,28 @@ class Model:
         return np.clip(np.interp(raw, *self.knots), 0, 1)
 
 
-def sample(labelled: DataFrame, rows: int = MAX_ROWS, chars: int = MAX_CHARS) -> list[tuple[str, int]]:
-    """(text, toxic) rows to learn from, in the order of their texts' digests: at most `rows`, and whole texts up to `chars` in all."""
-    picked = labelled.where("toxic in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    picked = picked.where(F.length("text") <= chars // 10)
-    picked = picked.withColumn("size", F.length("text")).withColumn("order", F.md5("text")).orderBy("order", "toxic").limit(rows)
+def sample(labelled: DataFrame, rows: int = MAX_ROWS, chars: int = MAX_CHARS, longest: int = LONGEST) -> list[tuple[str, int]]:
+    """(text, toxic) rows to learn from, in the order of their texts' digests.
+
+    At most `rows`, of texts of at most `longest` characters, and whole texts up to `chars` in all.
+    """
+    text, label, order = (fresh(labelled, c) for c in ("learn_text", "learn_label", "learn_order"))
+    picked = labelled.where("toxic in (0, 1)").select(F.coalesce("text", F.lit("")).alias(text), F.col("toxic").cast("int").alias(label))
+    picked = picked.where(F.length(text) <= longest).withColumn(order, F.md5(text)).orderBy(order, label).limit(rows)
     out, total = [], 0
     for r in picked.toLocalIterator():
-        total += r["size"]
+        total += len(r[text])
         if total > chars:
             break
-        out.append((r["text"], r["toxic"]))
+        out.append((r[text], r[label]))
     return out
 
 
 def score_column(text: Column, rows: list[tuple[str, int]]) -> Column:
     """Calibrated probability of a toxic label for whole texts.
 
-    Null counts as empty. With no toxic or no other labelled row the score is the labels' mean, or
+    Null counts as empty; a very long text is scored whole; an empty table gives no rows; only the one
+    column is read, so further ones never clash. With no toxic or no other labelled row the score is the labels' mean, or
     0 with no label at all. Repeated rows score alike. The model is fitted once, on the driver,
     from the bounded sample, and sent to the workers; scoring is one pass with no shuffle.
     """

@@ -1,10 +1,37 @@
 """Languages with long texts only, and tables that teach no language."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
 from skein.llm import langid
 
+
+def plain_phrases(line, learned):
+    at = n = 0
+    while at < len(line):
+        size = 0
+        while at + size < len(line) and line[at : at + size + 1] in learned:
+            size += 1
+        at, n = at + max(1, size), n + 1
+    return n
+
+
+def test_whole_texts_are_parsed_unbroken():
+    r = random.Random(6)
+    samples = {"p": " ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 7))) for _ in range(300)) + " " + "a" * 7, "q": "abde f" * 20 + "e" * 40}
+    parser = langid.Parser(samples)
+    texts = [" ".join("".join(r.choice("abcdef") for _ in range(r.randint(1, 9))) for _ in range(n)) for n in (1, 300, 3000, 20)]
+    texts += ["a" * 12000, "e" * 11001, "ab" * 7000 + "z", "z" * 2050, "x1 ", "7 a 7", "", ("abde f" * 400 + "q") * 5]
+    for size in (1, 3):
+        for some in (texts[at::size] for at in range(size)):
+            counts, sizes = parser.phrases(some)
+            for i, text in enumerate(some):
+                line = langid.squeezed(text)
+                assert sizes[i] == len(line)
+                assert counts[i].tolist() == [plain_phrases(line, langid.squeezed(samples[x])) for x in parser.languages], text[:40]
+
 EN, FR = "the dog and the cat of the house ", "le chien et le chat de la maison "
 
 
