@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
-from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +14,7 @@ from .common import RollingHash, Workspace, claim, components, keeps, mix, trim
 #: Words a shingle, and the least similarity as a fraction of whole numbers.
 WIDTH, LEAST = 3, (90, 100)
 #: Hash groups of a count vector, points in a leaf and nodes under a node of the R-tree, and points in a task's block and their shingles, about.
-GROUPS, LEAF, BLOCK, VALUES = 64, 32, 1024, 2_000_000
+GROUPS, LEAF, BLOCK, VALUES = 64, 32, 4096, 3_000_000
 #: Postings that a task gathers before it sends them to their buckets.
 POSTED = 1 << 20
 SPACE = np.zeros(256, bool)
@@ -82,13 +80,10 @@ def apart(b: int, least: tuple[int, int] = LEAST) -> int:
     return (low + low * den // num) * (den - num) // (den + num)
 
 
-@cache
 def groups(b: int, least: tuple[int, int]) -> int:
-    """Hash groups of band b: so many that all but few of its sets have more than apart(b) groups that are not empty."""
-    n, k = edge(b, least), apart(b, least) + 1
-    while k - int((m := k * exp(-n / k)) + 3 * sqrt(m)) <= apart(b, least) and k < 2 * apart(b, least):
-        k += 1
-    return k
+    """Hash groups of band b: more than apart(b), by so many that its sets' largest apart(b) + 1 groups hold several shingles each."""
+    most = apart(b, least)
+    return most + max(1, most * 3 // 5, min(most, 5))
 
 
 _edges: dict[tuple[int, int], list[int]] = {}
@@ -110,11 +105,22 @@ def band_of(n: int, least: tuple[int, int] = LEAST) -> int:
     return int(np.searchsorted(e, n, side="right")) - 1
 
 
+def cuts(k: int) -> np.ndarray:
+    """Bounds of k equal ranges of hashes."""
+    if k not in _cuts:
+        if len(_cuts) > 4096:
+            _cuts.clear()
+        _cuts[k] = np.asarray([(i << 64) // k for i in range(1, k)], np.uint64)
+    return _cuts[k]
+
+
 def signatures(s: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
-    """One hash for each hash group and band: equal if and (but for collisions) only if the groups' shingles are.
+    """One hash for each posted hash group: equal if and (but for collisions) only if the groups' shingles are.
 
-    Of a set with more groups that are not empty than two similar sets can differ in, one of these is
-    the other set's as well, so its empty groups, which any two sets may share, are left out.
+    Posted are the groups as large as the set's (apart + 1)-th largest one or larger. Of two similar
+    sets take the one for which that size is larger: their differences spoil fewer of its posted
+    groups than there are, so one of them is the other's too and is posted by both. Small groups,
+    which sets meet in that share no more than a phrase, are left out so.
     """
     if not len(s):
         return np.zeros(0, np.int64)
@@ -122,15 +128,12 @@ def signatures(s: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
     np.cumsum(mix(s + np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
     out = []
     for b, k in bands(len(s), least):
-        if k not in _cuts:
-            if len(_cuts) > 4096:
-                _cuts.clear()
-            _cuts[k] = np.asarray([(i << 64) // k for i in range(1, k)], np.uint64)
-        at = np.concatenate([[0], np.searchsorted(s, _cuts[k]), [len(s)]])
-        group = np.arange(k, dtype=np.uint64) + np.uint64(b << 40)
-        posted = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(group + np.uint64(1)))
-        full = at[1:] > at[:-1]
-        out.append(posted[full] if full.sum() > apart(b, least) else posted)
+        at = np.concatenate([[0], np.searchsorted(s, cuts(k)), [len(s)]])
+        size = np.diff(at)
+        rank = k - apart(b, least) - 1
+        posted = np.flatnonzero(size >= np.partition(size, rank)[rank])
+        group = posted.astype(np.uint64) + np.uint64((b << 40) + 1)
+        out.append(mix((sums[at[posted + 1]] - sums[at[posted]]) ^ mix(group)))
     return np.concatenate(out).view(np.int64)
 
 
@@ -274,12 +277,12 @@ def post(batches: Iterator[pa.RecordBatch], least: tuple[int, int], width: int,
         if len(a):
             yield dealt_rows(EDGE, (np.arange(len(a)) % buckets).astype(np.int32), c1=a, c2=b)
         # signatures are in order, so a bucket is a stretch of them
-        cuts = np.searchsorted(sig, np.asarray([(k << 64) // buckets - (1 << 63) for k in range(buckets)] + [(1 << 63) - 1], np.int64))
-        cuts[-1] = len(sig)
-        held = np.flatnonzero(np.diff(cuts))
+        at = np.searchsorted(sig, np.asarray([(k << 64) // buckets - (1 << 63) for k in range(buckets)] + [(1 << 63) - 1], np.int64))
+        at[-1] = len(sig)
+        held = np.flatnonzero(np.diff(at))
         for lo in range(0, len(held), 512):
             some = held[lo : lo + 512]
-            yield dealt_rows(POSTINGS, some.astype(np.int32), packed=[sig[cuts[k] : cuts[k + 1]].tobytes() + owner[cuts[k] : cuts[k + 1]].tobytes() for k in some.tolist()])
+            yield dealt_rows(POSTINGS, some.astype(np.int32), packed=[sig[at[k] : at[k + 1]].tobytes() + owner[at[k] : at[k + 1]].tobytes() for k in some.tolist()])
 
     for batch in batches:
         for lo, hi in parts(batch.column(1)):
@@ -339,7 +342,7 @@ def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = L
     """doc_id, n_shingles, component_id for every row: the classes of the n-gram Jaccard join.
 
     1. Each text's shingles are hashed; equal sets are one class each. A class is posted under hashes
-       of its hash groups (see `bands`): similar classes share at least one. Postings go to buckets
+       of its hash groups (see `bands` and `signatures`): similar classes share at least one. Postings go to buckets
        of signatures once, packed, and meet there in classes' least neighbours.
     2. Classes that share any signature are one candidate cluster, found with linear edge lists.
     3. A cluster's sets become points, counts of their shingles in GROUPS hash groups; R-trees bound
@@ -392,14 +395,17 @@ def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = L
         trim()
 
     sets = wanted.select("text").mapInArrow(whole_sets, "c1 long, c2 long, listed array<long>").dropDuplicates(["c1", "c2"])
-    sets = stays.join(sets, ["c1", "c2"])
+    sets = work.save(stays.join(sets, ["c1", "c2"]), "sets")
+    del wanted, stays
+    work.release()
     # a block meets itself and every later block of its band, as (least, greatest) pairs
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
     sets = sets.withColumn("pair", F.explode(pairs)).select("cluster", "band", "pair.x", "pair.y", "block", "visits", "c1", "c2", "listed")
     keys = ["cluster", "band", "x", "y"]
     sets = sets.repartition(*keys).sortWithinPartitions(*keys, "visits", "block")
     links = work.save(sets.mapInArrow(lambda batches: links_of(batches, least), LINKS), "links")
-    del sets, wanted, stays
+    del sets
+    work.drop("sets")
     work.release()
     linked = components(links, work).select("node.c1", "node.c2", F.col("component").alias("class"))
     linked = reps.join(linked, ["c1", "c2"], "left").withColumn("class", F.coalesce("class", F.struct("c1", "c2")))

@@ -57,3 +57,19 @@ def test_similar_sets_share_a_signature_and_others_do_not():
             assert np.intersect1d(jaccard.signatures(a, (80, 100)), jaccard.signatures(b, (80, 100))).size, n
     many = [set(jaccard.signatures(draw(n), (80, 100)).tolist()) for n in r.integers(80, 125, 300)]
     assert sum(bool(x & y) for k, x in enumerate(many) for y in many[:k]) < 100
+
+
+def test_sets_meet_at_the_threshold():
+    r = np.random.default_rng(9)
+    draw = lambda n: np.unique(r.integers(0, 2**64, n, np.uint64))
+    used = 0
+    for n in (40, 41, 60, 100, 150, 333, 700, 1500) * 60:
+        a = draw(n)
+        # as many differences as 0.8 allows, dealt to one side or to both
+        most = jaccard.apart(jaccard.band_of(n, (80, 100)), (80, 100))
+        for gone, new in ((n // 5, 0), (0, n // 4), (n // 9, n // 9)):
+            b = np.unique(np.concatenate([r.permutation(a)[gone:], draw(new)])) if new else np.sort(r.permutation(a)[gone:])
+            if jaccard.similar(a, b, (80, 100)):
+                used += 1
+                assert np.intersect1d(jaccard.signatures(a, (80, 100)), jaccard.signatures(b, (80, 100))).size, (n, gone, new, most)
+    assert used > 500
