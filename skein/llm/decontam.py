@@ -98,7 +98,7 @@ def scan_column(text: Column, benchmark: DataFrame, window: int = WINDOW, max_it
             rows = [scanner.scan(t or "") for t in part]
             yield pd.DataFrame({"n_words": [r[0] for r in rows], "n_hit": [r[1] for r in rows], "items": [r[2] for r in rows], "spans": [[{"start": a, "end": b} for a, b in r[3]] for r in rows]})
 
-    return scan(text)
+    return scan.asNondeterministic()(text)
 
 
 def is_contaminated(scan: Column) -> Column:

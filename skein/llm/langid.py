@@ -257,4 +257,5 @@ def language_column(text: Column, samples: dict[str, str]) -> Column:
             trim()
             yield pd.DataFrame({"lang": langs, "score": scores})
 
-    return detect(text)
+    # so marked, a filter on the result is not a second parse
+    return detect.asNondeterministic()(text)

@@ -341,7 +341,7 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
     marks = found.select(F.col("h").alias(h), F.col("ranges").alias(ranges), F.lit(False).alias(gone)).unionByName(whole)
     rows = docs.withColumn(h, digest).join(marks, h, "left").drop(h)
     touched = F.col(ranges).isNotNull()
-    rows = rows.withColumn(done, cut_out(F.when(touched, body), F.col(ranges)))
+    rows = rows.withColumn(done, cut_out.asNondeterministic()(F.when(touched, body), F.col(ranges)))
     empty = F.array().cast("array<struct<start:long,end:long>>")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length(body).cast("long").alias("end")))
     rows = rows.withColumn("kept", F.when(touched, F.col(f"{done}.kept")).when(F.col(gone), F.lit(b"")).otherwise(body.cast("binary")))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ from .common import Workspace, claim, fresh, keeps
 CHUNKS = 1_000_000
 #: Characters of a chunk that is still kept.
 LONGEST = 48
-#: Packers of a few ids into little-endian 32-bit bytes.
-PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
+#: Characters of texts that are cut into chunks together, about.
+BATCH = 4 << 20
 _loaded: dict[tuple[str, str], object] = {}
 
 
@@ -72,6 +73,13 @@ class ChunkStore:
         return found
 
 
+def chunked(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Texts cut at blanks: each chunk's place among the distinct ones, these, and where each text's chunks begin and end."""
+    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    coded = lists.values.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), lists.offsets.to_numpy().astype(np.int64)
+
+
 class WordCounter:
     """Counts under a tokenizer that drops white space before it merges: a text's count is the sum of its chunks'.
 
@@ -84,37 +92,71 @@ class WordCounter:
         self.store = ChunkStore(lambda chunks: map(len, tokenizer.encode_batch_fast(chunks, add_special_tokens=False)))
 
     def counts(self, texts: list[str]) -> list[int]:
-        return [sum(self.store.look_up(text.replace("\n", " ").split(" "))) for text in texts]
+        at, chunks, ends = chunked([t.replace("\n", " ") for t in texts])
+        sums = np.concatenate([[0], np.cumsum(np.asarray(self.store.look_up(chunks), np.int64)[at])]) if len(at) else np.zeros(1, np.int64)
+        return (sums[ends[1:]] - sums[ends[:-1]]).tolist()
 
 
-class ByteEncoder:
-    """Ids, as little-endian 32-bit bytes, under a byte-level tokenizer whose blank leads the next word.
+#: Fixed: the pre-token pattern of the byte-level pre-tokenizer, with possessive repeats.
+PRETOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: White space that is no longer left to the pattern's backtracking.
+RUN = 50_000
+LONG_RUN = re.compile(r"\s{%d}" % RUN)
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that a byte-level vocabulary writes for each byte: printable ones stand for themselves, others follow from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {**{chr(b): b for b in printable}, **{chr(0x100 + i): b for i, b in enumerate(rest)}}
+
+
+def ranked(tokenizer) -> object | None:
+    """An encoding by token ranks that gives the tokenizer's ids on texts without its special strings, or None if it need not.
 
-    A blank is a boundary unless white space stands on both of its sides (or before it at the end
-    of the text); texts with such a run, or with a special string, are encoded whole.
+    Merging by the rank of the result equals merging by the file's list if the list is in the order
+    of its results' ids and every token of the vocabulary is what its own letters are merged to:
+    then a pair whose join is a token never stands side by side without being on the list.
     """
+    import json
 
-    WHOLE = re.compile(r" (?<=\s )(?:\s|$)")
+    import tiktoken
+
+    file = json.loads(tokenizer.to_str())
+    model, cutter, letters = file["model"], file["pre_tokenizer"] or {}, byte_letters()
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if not plain or file["normalizer"] or file["post_processor"] or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex"):
+        return None
+    special = {a["content"] for a in file["added_tokens"]}
+    words = {t: i for t, i in model["vocab"].items() if t not in special}
+    made = [words.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    in_order = all(a < b for a, b in zip([-1, *made], made, strict=False))
+    if not in_order or any(c not in letters for t in words for c in t) or any(len(tokenizer.model.tokenize(t)) != 1 for t in words):
+        return None
+    ranks = {bytes(letters[c] for c in t): i for t, i in words.items()}
+    return tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={}) if all(bytes([b]) in ranks for b in range(256)) else None
+
+
+class ByteEncoder:
+    """Ids under a byte-level tokenizer: by token ranks where that is proven the same (see `ranked`), by the library itself elsewhere."""
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.special = [str(t) for t in (a.content for a in self.tokenizer.get_added_tokens_decoder().values())]
-        self.store = ChunkStore(self._later)
-
-    def _bytes(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.ranked = ranked(self.tokenizer)
 
-    def _later(self, chunks: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False):
-            yield PACK[len(e)](*e.ids) if len(e) < len(PACK) else np.asarray(e.ids, "<u4").tobytes()
+    def ids(self, text: str) -> list[int]:
+        if self.ranked is None or any(s in text for s in self.special) or (len(text) >= RUN and LONG_RUN.search(text)):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.ranked.encode_ordinary(text)
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special) or ("  " in text or self.WHOLE.search(text)):
-            return self._bytes(text)
-        head, *chunks = text.split(" ")
-        return self._bytes(head) + b"".join(self.store.look_up(chunks))
+        return np.asarray(self.ids(text), "<u4").tobytes()
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids end to end, and how many each text has."""
+        found = [np.asarray(self.ids(t), "<u4") for t in texts]
+        return np.concatenate([*found, np.zeros(0, "<u4")]), np.fromiter(map(len, found), np.int64, len(found))
 
 
 keeps("tokens", _loaded.clear)
@@ -172,7 +214,8 @@ def token_counts(docs: DataFrame, tokenizer: str, work: Workspace, cache: str |
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = shared(kind, tokenizer)
         for part in parts:
-            yield pd.Series(counter.counts(part.tolist()), dtype="int64")
+            sizes = np.cumsum(part.str.len().to_numpy(np.int64)) // BATCH
+            yield pd.Series([n for _, some in part.groupby(sizes) for n in counter.counts(some.tolist())], dtype="int64")
 
     # one folder a version: a reader of this one never opens counts of another
     texts.select(F.lit(version).alias("version"), "digest", count("text").alias("n_tokens")).write.mode("append").partitionBy("version").parquet(path)

@@ -64,3 +64,19 @@ def test_write_buckets(spark, docs, tmp_path):
     pieces = packing.pack(docs(["one two three", "four"]), public_tokenizers.path("byte_bpe_50k.json"))
     packing.write_buckets(pieces, str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "b")).count() == pieces.count()
+
+
+def test_ranks_give_the_library_ids_for_every_code_point():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), tokens.ByteEncoder(path)
+    assert e.ranked is not None
+    points = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    for lo in range(0, len(points), 4096):
+        line = "b".join(f"a{c}1{c}!{c} {c} {c}\n{c}\n" for c in points[lo : lo + 4096])
+        assert e.ids(line) == t.encode(line, add_special_tokens=False).ids, hex(ord(points[lo]))
+    for text in ("\n" * 60_000 + "x", "a" * 70_000, " " * 60_000, "x " * 60_000):
+        assert e.ids(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_not_ranked():
+    assert tokens.ranked(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))) is None
