@@ -80,7 +80,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     ship(spark)
     scan = fresh(docs, "benchmark_scan")
-    marked = docs.withColumn(scan, decontam.scan_column(F.col("text"), table(spark, sf_dir, "benchmark")))
+    marked = decontam.scan(docs, table(spark, sf_dir, "benchmark"), Workspace(spark, "decontaminated"), out=scan)
     return marked.where(~decontam.is_contaminated(F.col(scan))).select(docs.columns)
 
 

@@ -76,8 +76,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = docs.select("doc_id", decontam.scan_column(F.col("text"), table(spark, sf_dir, "benchmark")).alias("s"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontam.scan(docs, table(spark, sf_dir, "benchmark"), Workspace(spark, "op8"), out="s")
     ids = F.array_join(F.array_sort(F.transform("s.items", lambda x: x.cast("string"))), ",")
     return out.select("doc_id", "s.n_words", "s.n_hit", F.size("s.items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), decontam.is_contaminated(F.col("s")).alias("contaminated"))
 

@@ -43,3 +43,28 @@ def test_empty_benchmark(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     row = docs(["some words"]).select(decontam.scan_column(F.col("text"), bench).alias("s")).first()
     assert row.s.n_words == 2 and row.s.n_hit == 0 and row.s["items"] == []
+
+
+def test_parts_and_long_hits_equal_one_scan(spark, docs, tmp_path):
+    import time
+
+    from skein.llm.common import Workspace
+
+    r = random.Random(4)
+    items = [(k, " ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 40)))) for k in range(60)]
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 60))) + " " + items[k][1] for k in range(30)] + [None, ""]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (decontam.PART_BYTES, 400):
+        got = decontam.scan(docs(texts), bench, Workspace(spark, "d", str(tmp_path)), part_bytes=size).select("text", "scan", "h").collect()
+        for row in got:
+            assert (row.scan.n_words, row.scan.n_hit, row.scan["items"]) == brute(row.text, items), size
+            assert sum(len(decontam.normalised(row.text[a:b])) for a, b in row.scan.spans) == row.scan.n_hit
+    scanner = decontam.Scanner([(1, "é b c d e f g h i j k l m n o")])
+    line = "é b c d e f g h i j k l m n o, -- " * 40_000
+    began = time.time()
+    assert len(scanner.scan(line)[3]) == 1 and time.time() - began < 20
+
+
+def test_the_automaton_grows_with_the_items_not_their_windows():
+    scanner = decontam.Scanner([(1, " ".join(f"word{k}" for k in range(2000)))])
+    assert scanner.automaton.get_stats()["nodes_count"] < 1.3 * len(" ".join(f"word{k}" for k in range(2000)))
