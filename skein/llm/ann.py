@@ -23,14 +23,11 @@ FOUND = "query_id long, vec_id long, score double"
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, v: the vectors that take part, as doubles.
 
-    Out go rows with a null id or vector, null or non-finite components or no length, and vectors of
-    another dimension than most have.
+    Out go rows with a null id or vector, null or non-finite components or no length.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where("vec_id is not null and v is not null").where(fine)
-    top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (top["n"] if top else 0))
+    return rows.where("vec_id is not null and v is not null").where(fine)
 
 
 def choose_pivots(rows: DataFrame, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> np.ndarray:
@@ -93,24 +90,38 @@ def nearest_in_block(ids, vectors, postings: Postings, query_ids, queries, query
 class PermutationIndex:
     """Every usable row, under its ordered nearest pivots, in blocks of a bounded number of rows.
 
-    The pivots come from a bounded sample of distinct vectors; no row is left out. `rows` is a
-    written table (vec_id, v, perm, block); `search` may be called for any set of queries.
+    The pivots come from a bounded sample of distinct vectors of each dimension; no row is left out,
+    and vectors of one dimension are each other's candidates. `rows` is a written table (vec_id, v,
+    perm, block); `search` may be called for any set of queries. An empty table gives an empty index;
+    other columns are ignored, whatever their names.
     """
 
     def __init__(self, vectors: DataFrame, work: Workspace, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX):
         rows = usable(vectors, vec_id, embedding)
-        self.work, self.pivots = work, choose_pivots(rows, pivots)
-        chosen, used = self.pivots, prefix
+        self.work, self.most = work, pivots
+        sizes = {r["n"]: r["k"] for r in rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("k")).collect()}
+        chosen = {n: choose_pivots(rows.where(F.size("v") == n), pivots) for n in sorted(sizes)}
 
         @F.pandas_udf("array<short>")
         def perm(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for part in parts:
-                yield pd.Series(list(permutations(np.stack(part.to_list()).astype(np.float64), chosen, used)) if len(part) else [])
-
-        n = rows.count()
-        self.blocks = max(1, -(-n // BLOCK))
-        block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(self.blocks)).cast("int")
-        self.rows = work.save(rows.select("vec_id", "v", perm("v").alias("perm"), block.alias("block")), "index")
+                out: list = [None] * len(part)
+                lengths = part.map(len).to_numpy()
+                for n in np.unique(lengths).tolist():
+                    at = np.flatnonzero(lengths == n)
+                    for i, p in zip(at.tolist(), permutations(np.stack(part.iloc[at].to_list()).astype(np.float64), chosen[n], prefix), strict=True):
+                        out[i] = p
+                yield pd.Series(out, dtype=object)
+
+        # blocks of one dimension follow one another
+        blocks = {n: max(1, -(-k // BLOCK)) for n, k in sizes.items()}
+        first, block = 0, F.lit(0)
+        self.spaces: list[tuple[int, int, int]] = []
+        for n in sorted(sizes):
+            block = F.when(F.size("v") == n, F.lit(first) + F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks[n]))).otherwise(block)
+            self.spaces.append((n, first, blocks[n]))
+            first += blocks[n]
+        self.rows = work.save(rows.select("vec_id", "v", perm("v").alias("perm"), block.cast("int").alias("block")), "index")
 
     def search(self, queries: DataFrame, k: int = 20, share: float = SHARE) -> DataFrame:
         """query_id, rank, vec_id, score for rows of the index whose vec_id is in `queries`.
@@ -126,9 +137,13 @@ class PermutationIndex:
         groups = max(1, -(-n // QUERY_BLOCK))
         left = self.rows.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v", "perm")).alias("rows"))
         left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        right = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part")).agg(F.collect_list(F.struct("vec_id", "v", "perm")).alias("queries"))
-        right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))))
-        pivots = len(self.pivots)
+        right = asked.groupBy(F.size("v").alias("n"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part")).agg(F.collect_list(F.struct("vec_id", "v", "perm")).alias("queries"))
+        # a dimension's queries meet its blocks
+        own = F.array().cast("array<int>")
+        for size, first, blocks in self.spaces:
+            own = F.when(F.col("n") == size, F.sequence(F.lit(first), F.lit(first + blocks - 1))).otherwise(own)
+        right = right.withColumn("block", F.explode(own)).drop("n")
+        pivots = self.most
 
         def unpacked(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             x = rows.values
@@ -150,7 +165,7 @@ class PermutationIndex:
 
 
 def exact(vectors: DataFrame, query_ids: list[int], k: int = 20) -> dict[int, list[int]]:
-    """Brute force for a few queries, to measure recall with."""
+    """Brute force for a few queries of a table of one dimension, to measure recall with."""
     rows = usable(vectors).toPandas()
     x, ids = np.stack(rows["v"].to_list()), rows["vec_id"].to_numpy()
     out = {}

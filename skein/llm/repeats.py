@@ -29,10 +29,27 @@ MISSING = 0xFF
 IN_MEMORY = 32_768
 _hash = RollingHash(11)
 keeps("repeats", _hash.forget)
-INDEX_BITS = 28
+#: Low bits of a hash that give way to a position, and the bytes of a text that are cut at a time.
+INDEX_BITS, STRETCH = 28, 1 << 24
 
 
-def segments(raw: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def segments(raw: list[bytes], length: int = LENGTH, gram: int = GRAM, stretch: int = STRETCH) -> tuple[np.ndarray, ...]:
+    """Segments (see `segments_of`) of texts of any size: longer ones than `stretch` are cut in stretches that share a window less a byte.
+
+    A run of windows that a stretch's end parts is two segments of one key, which changes nothing
+    for what repeats.
+    """
+    pieces = [(i, at) for i, t in enumerate(raw) for at in range(0, max(1, len(t) - length + 1), stretch)]
+    if len(pieces) == len(raw):
+        return segments_of(raw, length, gram)
+    out = []
+    for i, at in pieces:
+        _, start, end, place, key = segments_of([raw[i][at : at + stretch + length - 1]], length, gram)
+        out.append((np.full(len(start), i), start + at, end + at, place + at, key))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def segments_of(raw: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(text, start, end, minimiser, key): maximal runs start..end of `length`-byte windows with one minimiser.
 
     A window's minimiser is its gram of least hash, the first of equals, and so depends on the
@@ -194,14 +211,16 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
     removed; strings are judged on the input. Equal texts are one text that is repeated whole.
 
     1. Distinct texts are cut into segments, runs of windows under one minimiser, keyed by its hash.
-       Only keys that occur twice go on; the others hold nothing that repeats.
+       Only keys that occur twice go on; the others hold nothing that repeats. Texts are cut twice:
+       once to count keys, once to pick the segments of those.
     2. Their bytes are fetched, equal segments collapse to one with a count before the shuffle's write.
     3. Distinct segments meet by key in `repeated_windows`.
     4. Ranges of windows return to their texts and are cut out.
 
     A null text is empty; shorter texts than `length` keep everything unless nothing else; repeated
-    rows remove each other; other columns pass through, but for those three names. Very
-    long texts are processed alone; buckets above IN_MEMORY segments keep their columns in files.
+    rows remove each other; an empty table gives no rows; other columns pass through, but for those
+    three names. Very long texts are cut in stretches; buckets above IN_MEMORY segments keep their
+    columns in files, their distinct segments stand in one task's memory.
     """
     docs = docs.drop("kept", "kept_text", "spans")
     body = F.coalesce(F.col(text), F.lit(""))
@@ -231,11 +250,14 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
     long_enough = F.octet_length("text") >= length
     copies = work.save(texts.where(long_enough).groupBy("h").agg(F.count("*").alias("copies")), "copies")
     dealt = texts.where(long_enough).mapInArrow(cut_up, "h binary, key long, s int, e int, p int")
-    # one shuffle, by key; copies of a text in different tasks give equal rows, which collapse where they meet
-    dealt = dealt.repartition("key").groupBy("key", "h", "s", "e", "p").agg(F.lit(1).alias("one")).drop("one")
-    often = dealt.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    # a key occurs twice if two places of it differ; copies of a text met in different tasks are one place.
+    # The sums are reduced before their shuffle and joined as a table, so a key that many texts share can be split
+    place = F.xxhash64("h", "s")
+    often = dealt.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key")
+    often = work.save(often, "keys")
+    work.release()
     wanted = dealt.join(often, "key", "left_semi")
-    wanted = wanted.groupBy("h").agg(F.collect_list(F.struct("s", "e", "p", "key")).alias("parts"))
+    wanted = wanted.groupBy("h").agg(F.collect_set(F.struct("s", "e", "p", "key")).alias("parts"))
     wanted = work.save(wanted, "wanted")
     del dealt, often
     work.release()
@@ -281,6 +303,7 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
     fetched = fetched.mapInArrow(fetch, "sid binary, key long, off int, h binary, s int, run int, seg binary")
     fetched = work.save(fetched, "segments")
     work.drop("wanted")
+    work.drop("keys")
     work.release()
     where = fetched.select("sid", "h", "s", "run").groupBy("sid", "h", "s", "run").agg(F.lit(1).alias("one")).drop("one")
     many = where.groupBy("sid").agg(F.count("*").alias("k"), F.max("run").alias("run")).where("k > 1")
