@@ -104,15 +104,26 @@ def snippet(text: Column, needle: Column, size: int = 220, back: int = 70) -> Co
     return F.concat(F.when(start > 1, "...").otherwise(""), body, F.when(start + size - 1 < F.length(text), "...").otherwise(""))
 
 
+#: Fixed: months by their first three letters.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+
 def parse_date(text: Column) -> Column:
-    """struct(precision, year, iso): a day in ISO form, else a year of 1800-2099, else a decade, else unknown."""
+    """struct(precision, year, iso): a day in ISO form or by its month's name, else a year of 1800-2099, else a decade, else unknown."""
     day = F.regexp_extract(text, r"\b((?:18|19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01]))\b", 1)
+    named = lambda k: F.regexp_extract(F.lower(text), r"\b(" + "|".join(MONTHS) + r")[a-z]*\.? (\d{1,2})(?:st|nd|rd|th)?,? ((?:18|19|20)\d\d)\b", k)
+    month = F.lit("")
+    for k, name in enumerate(MONTHS):
+        month = F.when(named(1) == name, f"{k + 1:02d}").otherwise(month)
+    written = F.when((named(1) != "") & named(2).try_cast("int").between(1, 31), F.concat_ws("-", named(3), month, F.lpad(named(2), 2, "0"))).otherwise("")
+    day = F.when(day != "", day).otherwise(written)
     year = F.regexp_extract(text, r"\b((?:18|19|20)\d\d)\b", 1)
     decade = F.regexp_extract(text, r"\b(\d0)s\b", 1)
     d = decade.try_cast("int")
-    return F.when(day != "", F.struct(F.lit("day").alias("precision"), F.substring(day, 1, 4).cast("int").alias("year"), day.alias("iso"))).when(
-        year != "", F.struct(F.lit("year").alias("precision"), year.cast("int").alias("year"), F.lit(None).cast("string").alias("iso"))
-    ).when(decade != "", F.struct(F.lit("decade").alias("precision"), F.when(d >= 30, 1900 + d).otherwise(2000 + d).alias("year"), F.lit(None).cast("string").alias("iso"))).otherwise(F.struct(F.lit("unknown").alias("precision"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("iso")))
+    made = lambda precision, y, iso: F.struct(F.lit(precision).alias("precision"), y.cast("int").alias("year"), iso.cast("string").alias("iso"))
+    none = F.lit(None)
+    found = F.when(day != "", made("day", F.substring(day, 1, 4), day)).when(year != "", made("year", year, none))
+    return found.when(decade != "", made("decade", F.when(d >= 30, 1900 + d).otherwise(2000 + d), none)).otherwise(made("unknown", none, none))
 
 
 def parse_exif_date(c: Column) -> Column:

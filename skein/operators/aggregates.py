@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
+
 
 def mode_first(d: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Most frequent value of each key; of equals the one seen first."""
@@ -30,6 +32,13 @@ def weighted_median(d: DataFrame, key: str, value: str, weight: str) -> DataFram
     return d.where("cum >= total / 2").groupBy(key).agg(F.min(value).alias("median"))
 
 
+def median_deviation(d: DataFrame, key: str, value: str, weight: str) -> DataFrame:
+    """Weighted median of each key, and the weighted median of the distances from it."""
+    median = weighted_median(d, key, value, weight)
+    away = d.join(median, key).select(key, F.abs(F.col(value) - F.col("median")).alias("away"), F.col(weight).alias("weight"))
+    return median.join(weighted_median(away, key, "away", "weight").withColumnRenamed("median", "mad"), key)
+
+
 def share_and_rank(d: DataFrame, group: str, member: str, amount: str) -> DataFrame:
     """Each member's share of its group's total, and its place by share."""
     total = d.groupBy(group, member).agg(F.sum(amount).alias("amount"))
@@ -51,11 +60,12 @@ def grouping_report(d: DataFrame, keys: list[str], aggregates: list[Column]) ->
     return d.groupingSets(sets, *[F.col(k) for k in keys]).agg(*aggregates)
 
 
-def calibrated_floors(d: DataFrame, observed: str = "precision", floor: str = "floor", target: str = "target", n: str = "n") -> DataFrame:
-    """Policy floors moved by observed precision: up by half the gap (0.15 at most), down by a quarter of the surplus (0.05 at most), with eight observations or more."""
+def calibrated_floors(d: DataFrame, observed: str = "precision", floor: str = "floor", target: str = "target", n: str = "n", low: Column | float = 0.5, high: Column | float = 0.99) -> DataFrame:
+    """Policy floors moved by observed precision: up by half the gap (0.15 at most), down by a quarter of the surplus (0.05 at most), with eight observations or more, within an action's bounds."""
+    low, high = (F.lit(x) if isinstance(x, float) else x for x in (low, high))
     gap = F.col(target) - F.col(observed)
     moved = F.when(gap > 0, F.col(floor) + F.least(F.lit(0.15), 0.5 * gap)).otherwise(F.col(floor) - F.least(F.lit(0.05), -0.25 * gap))
-    return d.withColumn("new_floor", F.when(F.col(n) >= 8, F.greatest(F.lit(0.5), F.least(F.lit(0.99), moved))).otherwise(F.col(floor)))
+    return d.withColumn("new_floor", F.when(F.col(n) >= 8, F.greatest(low, F.least(high, moved))).otherwise(F.col(floor)))
 
 
 def overrides(log: DataFrame, target: str, order: str, actor: str, verdict: str) -> DataFrame:
@@ -72,23 +82,25 @@ def stratified_sample(d: DataFrame, stratum: list[str], key: str, weight: Column
     return d.withColumn("place", F.row_number().over(w)).orderBy("place", *stratum).limit(n)
 
 
-def fuse_log_odds(scores: dict[str, tuple[Column, float]], prior: float = 0.08) -> Column:
-    """Posterior of weighted evidence: logit of the prior plus weighted logits, clipped; fewer than two present cap at 0.65."""
+def fuse_log_odds(scores: dict[str, tuple[Column, float]], prior: float = 0.08, blocked: Column | None = None) -> Column:
+    """Posterior of weighted evidence: logit of the prior plus weighted logits, clipped; fewer than two present cap at 0.65, a block at 0.2."""
     clip = lambda c: F.least(F.greatest(c, F.lit(0.02)), F.lit(0.98))
     total, present = F.ln(F.lit(prior / (1 - prior))), F.lit(0)
     for c, w in scores.values():
         total = total + F.when(c.isNull(), 0.0).otherwise(w * F.ln(clip(c) / (1 - clip(c))))
         present = present + c.isNotNull().cast("int")
     p = 1 / (1 + F.exp(-total))
-    return F.when(present < 2, F.least(p, F.lit(0.65))).otherwise(p)
+    p = F.when(present < 2, F.least(p, F.lit(0.65))).otherwise(p)
+    return p if blocked is None else F.when(blocked, F.least(p, F.lit(0.2))).otherwise(p)
 
 
-def edges(d: DataFrame, subject: str, predicate: str, object_: str, undirected: bool = True) -> DataFrame:
-    """Upserted edges: mean confidence, distinct events, extent in time; weight 0.16 an event, duration, evidence and confidence, 1 at most."""
+def edges(d: DataFrame, subject: str, predicate: str, object_: str, undirected: bool = True, evidence: str | None = None) -> DataFrame:
+    """Upserted edges: mean confidence, distinct events, extent in time; weight 0.16 an event, duration, 0.04 an evidence id (0.2 at most) and confidence, 1 at most."""
     a, b = (F.least(subject, object_), F.greatest(subject, object_)) if undirected else (F.col(subject), F.col(object_))
-    e = d.groupBy(a.alias("subject"), F.col(predicate).alias("predicate"), b.alias("object")).agg(F.avg(F.coalesce("conf", F.lit(0.5))).alias("confidence"), F.count_distinct("event").alias("n_events"), F.min("s").alias("s"), F.max("e").alias("e"))
-    weight = F.least(F.lit(1.0), 0.16 * F.col("n_events") + F.least((F.col("e") - F.col("s")) / 1800, F.lit(0.25)) + 0.25 * F.col("confidence"))
-    return e.withColumn("weight", weight)
+    cited = F.count_distinct(evidence) if evidence else F.lit(0)
+    e = d.groupBy(a.alias("subject"), F.col(predicate).alias("predicate"), b.alias("object")).agg(F.avg(F.coalesce("conf", F.lit(0.5))).alias("confidence"), F.count_distinct("event").alias("n_events"), cited.alias("n_evidence"), F.min("s").alias("s"), F.max("e").alias("e"))
+    weight = 0.16 * F.col("n_events") + F.least((F.col("e") - F.col("s")) / 1800, F.lit(0.25)) + F.least(0.04 * F.col("n_evidence"), F.lit(0.2)) + 0.25 * F.col("confidence")
+    return e.withColumn("weight", F.least(F.lit(1.0), weight))
 
 
 def latest_patch(log: DataFrame, target: str, field: str, value: str, order: str, superseded: str) -> DataFrame:
@@ -96,13 +108,23 @@ def latest_patch(log: DataFrame, target: str, field: str, value: str, order: str
     return log.where(~F.col(superseded)).groupBy(target, field).agg(F.max_by(value, order).alias("value"))
 
 
-def transitive(merges: DataFrame, rounds: int = 40) -> DataFrame:
-    """id -> final id of chains of merges, by pointer doubling: logarithmic in the longest chain; cycles end at their least id."""
-    m = merges.select("src", "dst").where("src <> dst")
-    for _ in range(rounds):
-        nxt = m.alias("a").join(m.alias("b"), F.col("a.dst") == F.col("b.src"), "left").select("a.src", F.coalesce("b.dst", "a.dst").alias("dst"))
-        nxt = nxt.where("src <> dst").checkpoint() if m.sparkSession.conf.get("spark.checkpoint.dir", None) else nxt.where("src <> dst").cache()
-        if not nxt.exceptAll(m).limit(1).count():
-            return nxt
-        m = nxt
-    return m
+def transitive(merges: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """src -> dst at the end of its chain of merges, by pointer doubling: rounds are logarithmic in the number of merges.
+
+    Each round joins a merge with the one that its end is the source of, and keeps the least id met.
+    Where merges run in a circle, its members and what leads to it end at the circle's least id.
+    """
+    work = work or Workspace(merges.sparkSession, "transitive")
+    m = merges.where("src <> dst").groupBy("src").agg(F.min("dst").alias("dst"))
+    m = work.save(m.withColumn("low", F.least("src", "dst")), "merges-0")
+    rounds = max(1, m.count()).bit_length() + 1
+    for k in range(rounds):
+        on = m.select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("low").alias("beyond"))
+        if not m.join(on, "dst", "left_semi").limit(1).count():
+            return m.select("src", "dst")
+        m = m.join(on, "dst", "left").select("src", F.coalesce("next", "dst").alias("dst"), F.least("low", "beyond").alias("low"))
+        m = work.save(m, f"merges-{k + 1}")
+        work.drop(f"merges-{k}")
+    # what still ends at a source is on a circle, all of which that source's least id has seen
+    on = m.select(F.col("src").alias("dst"), F.col("low").alias("circle"))
+    return m.join(on, "dst", "left").select("src", F.coalesce("circle", "dst").alias("dst")).where("src <> dst")

@@ -106,13 +106,13 @@ def dense_topk(spark, sf_dir):
     return search.top(_dense(spark, sf_dir), 20).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {DOCS}, {TERMS}, {QTERMS}, {VEC}, sp AS (SELECT id, sum(weight) / any_value(norm) / 10 AS score FROM po JOIN q0 USING (term) JOIN no USING (id) GROUP BY id), rk AS (SELECT id, 1.0 / row_number() OVER (ORDER BY score DESC, id) AS score FROM sp), ex AS (SELECT id, 1.0 AS score FROM docs WHERE contains(lower(text), 'apache license')) SELECT id, round(sum(score), 6) AS score FROM (SELECT id, score FROM d UNION ALL SELECT id, 0.8 * score FROM sp UNION ALL SELECT id, 0.35 * score FROM rk UNION ALL SELECT id, 0.25 * score FROM ex) GROUP BY id ORDER BY score DESC, id LIMIT 20")
+@query(f"WITH {DOCS}, {TERMS}, {QTERMS}, {VEC}, sp AS (SELECT id, round(sum(weight) / any_value(norm) / 10, 9) AS score FROM po JOIN q0 USING (term) JOIN no USING (id) GROUP BY id), rk AS (SELECT id, 1.0 / row_number() OVER (ORDER BY score DESC, id) AS score FROM sp), ex AS (SELECT id, 1.0 AS score FROM docs WHERE contains(lower(text), 'apache license')) SELECT id, round(sum(score), 6) AS score FROM (SELECT id, score FROM d UNION ALL SELECT id, 0.8 * score FROM sp UNION ALL SELECT id, 0.35 * score FROM rk UNION ALL SELECT id, 0.25 * score FROM ex) GROUP BY id ORDER BY score DESC, id LIMIT 20")
 def exact_bonus_hybrid(spark, sf_dir):
     docs = corpus(spark, sf_dir)
     index = search.build_index(docs)
     q = search.query_terms(spark, "idiot licensed under apache license version")
-    sparse = index.postings.join(F.broadcast(q), "term").groupBy("id").agg(F.sum("weight").alias("w")).join(index.norms, "id").select("id", (F.col("w") / F.col("norm") / 10).alias("score"))
-    # only documents that match a query term are ranked
+    sparse = index.postings.join(F.broadcast(q), "term").groupBy("id").agg(F.sum("weight").alias("w")).join(index.norms, "id").select("id", F.round(F.col("w") / F.col("norm") / 10, 9).alias("score"))
+    # rounded, so that the order of a sum's terms decides no tie; only documents that match a query term are ranked
     rank = sparse.select("id", (1.0 / F.row_number().over(Window.orderBy(F.desc("score"), "id"))).alias("score"))
     exact = docs.where(F.contains(F.lower("text"), F.lit("apache license"))).select("id", F.lit(1.0).alias("score"))
     return search.hybrid(_dense(spark, sf_dir), sparse, rank, exact, 20).withColumn("score", F.round("score", 6))
@@ -336,10 +336,10 @@ def edit_similarity(spark, sf_dir):
     return j.select(F.col("x.a").alias("left_name"), F.col("y.a").alias("right_name"), F.round(sem.edit_similarity(F.col("x.a"), F.col("y.a")), 6).alias("similarity"))
 
 
-@query("WITH d AS (SELECT doc_id, regexp_extract(text, '\\b((?:18|19|20)\\d\\d)\\b', 1) AS y FROM documents) SELECT y AS year_text, count(*) AS n FROM d WHERE y <> '' GROUP BY y")
+@query("WITH d AS (SELECT unnest(regexp_extract_all(text, '\\b((?:18|19|20)\\d\\d)\\b', 1)) AS y FROM documents) SELECT y AS year_text, count(*) AS n FROM d GROUP BY y")
 def year_mentions(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.regexp_extract("text", r"\b((?:18|19|20)\d\d)\b", 1).alias("year_text"))
-    return d.where("year_text <> ''").groupBy("year_text").agg(F.count("*").alias("n"))
+    d = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b((?:18|19|20)\d\d)\b"), F.lit(1))).alias("year_text"))
+    return d.groupBy("year_text").agg(F.count("*").alias("n"))
 
 
 @query("WITH p AS (SELECT event_id AS id, least(greatest(least(value / 500, 1.0), 0.02), 0.98) AS a, least(greatest(CAST(json_extract(props, '$.k') AS INTEGER) / 100.0, 0.02), 0.98) AS b FROM events) SELECT id, round(1 / (1 + exp(-(ln(0.08 / 0.92) + 1.0 * ln(a / (1 - a)) + 0.5 * ln(b / (1 - b))))), 9) AS p FROM p")
@@ -348,13 +348,13 @@ def log_odds_fusion(spark, sf_dir):
     return s.select("id", F.round(agg.fuse_log_odds({"conf": (F.col("conf"), 1.0), "k": (F.col("k") / 100.0, 0.5)}), 9).alias("p"))
 
 
-EDGE = f"WITH {SEG}, x AS (SELECT least(media, k) AS subject, label AS predicate, greatest(media, k) AS object, id, conf, s, e FROM seg), g AS (SELECT subject, predicate, object, avg(conf) AS confidence, count(DISTINCT id) AS n_events, min(s) AS s, max(e) AS e FROM x GROUP BY subject, predicate, object)"
+EDGE = f"WITH {SEG}, x AS (SELECT least(media, k) AS subject, label AS predicate, greatest(media, k) AS object, id, conf, s, e FROM seg), g AS (SELECT subject, predicate, object, avg(conf) AS confidence, count(DISTINCT id) AS n_events, count(DISTINCT id // 3) AS n_evidence, min(s) AS s, max(e) AS e FROM x GROUP BY subject, predicate, object)"
 
 
-@query(f"{EDGE} SELECT subject, predicate, object, n_events, round(confidence, 9) AS confidence, round(least(1.0, 0.16 * n_events + least((e - s) / 1800, 0.25) + 0.25 * confidence), 6) AS weight FROM g")
+@query(f"{EDGE} SELECT subject, predicate, object, n_events, round(confidence, 9) AS confidence, round(least(1.0, 0.16 * n_events + least((e - s) / 1800, 0.25) + least(0.04 * n_evidence, 0.2) + 0.25 * confidence), 6) AS weight FROM g")
 def edge_aggregate(spark, sf_dir):
-    s = segments(spark, sf_dir).withColumnRenamed("id", "event")
-    return agg.edges(s, "media", "label", "k").select("subject", "predicate", "object", "n_events", F.round("confidence", 9).alias("confidence"), F.round("weight", 6).alias("weight"))
+    s = segments(spark, sf_dir).withColumn("evidence", F.expr("id div 3")).withColumnRenamed("id", "event")
+    return agg.edges(s, "media", "label", "k", evidence="evidence").select("subject", "predicate", "object", "n_events", F.round("confidence", 9).alias("confidence"), F.round("weight", 6).alias("weight"))
 
 
 @query("WITH o AS (SELECT event_type AS action, count(*) AS n, (count(*) FILTER (value > 20) + 1.0) / (count(*) + 2.0) AS p FROM events GROUP BY event_type) SELECT action, n, round(CASE WHEN n >= 8 THEN greatest(0.5, least(0.99, CASE WHEN 0.7 - p > 0 THEN 0.8 + least(0.15, 0.5 * (0.7 - p)) ELSE 0.8 - least(0.05, 0.25 * (p - 0.7)) END)) ELSE 0.8 END, 9) AS new_floor FROM o")
@@ -404,10 +404,11 @@ def eval_task_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("task_type")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, event_type, value / 500 AS confidence FROM events WHERE value / 500 < 0.002 OR value IS NULL")
+@query("SELECT event_id, event_type, value / 500 AS confidence FROM events WHERE value / 500 < 0.75 OR value IS NULL OR event_type = 'error'")
 def eval_low_confidence_queue(spark, sf_dir):
+    """An error row stands for one whose review_status is needs_review."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("value") / 500).alias("confidence"))
-    return e.where("confidence is null or confidence < 0.002").orderBy(F.asc_nulls_first("confidence"), "event_id")
+    return e.where("confidence is null or confidence < 0.75 or event_type = 'error'").orderBy(F.asc_nulls_first("confidence"), "event_id")
 
 
 @query("SELECT user_id % 10 AS grp, CAST(least(floor(value / 50), 9) AS BIGINT) AS bucket, count(*) AS n FROM events GROUP BY ALL")

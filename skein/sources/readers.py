@@ -85,16 +85,26 @@ def span_faults(clock: Column, s: Column, e: Column, duration: Column, slack: fl
     )
 
 
+#: A whole string, and the bare clock value that may follow it as a key.
+CLOCK = re.compile(r'("(?:[^"\\]|\\.)*")(?:(\s*:\s*)(\d+(?::\d\d){1,2})(?=\s*[,}\]]))?')
+
+
+def clock_seconds(m: re.Match) -> str:
+    return m[0] if m[3] is None else f"{m[1]}{m[2]}{seconds(m[3]):g}"
+
+
 def salvage_json(text: str | None) -> str | None:
-    """The JSON object in a model's answer: fences dropped, bare minute:second values made numbers, a cut tail closed."""
+    """The JSON object in a model's answer; where it does not parse, bare clock values are made numbers and a cut tail is closed."""
     if not text or "{" not in text:
         return None
-    body = re.sub(r"```\w*", "", text)[re.sub(r"```\w*", "", text).index("{") :]
-    body = re.sub(r'(":\s*)(\d+):(\d\d)(?=\s*[,}\]])', lambda m: m[1] + str(int(m[2]) * 60 + int(m[3])), body)
-    try:
-        return json.dumps(json.JSONDecoder().raw_decode(body)[0], sort_keys=True)
-    except ValueError:
-        pass
+    body = re.sub(r"```\w*", "", text) if "```" in text else text
+    body = body[body.index("{") :] if "{" in body else text[text.index("{") :]
+    for attempt in (lambda: body, lambda: CLOCK.sub(clock_seconds, body)):
+        try:
+            return json.dumps(json.JSONDecoder().raw_decode(attempt())[0], sort_keys=True)
+        except ValueError:
+            pass
+    body = CLOCK.sub(clock_seconds, body)
     ends, stack, quoted, skip = [], [], False, False
     for i, c in enumerate(body):
         if skip:

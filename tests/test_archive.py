@@ -127,3 +127,20 @@ def test_streaming_sessions_equal_batch(spark, tmp_path):
     q = sessions(stream, "user_id", "ts", late="60 days").writeStream.outputMode("complete").format("memory").queryName("s").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("s").collect())) == sorted(map(tuple, sessions(e, "user_id", "ts").collect()))
+
+
+def test_circles_of_merges_end_at_their_least_id(spark):
+    m = spark.createDataFrame([(1, 2), (2, 1), (5, 4), (4, 3), (13, 11), (11, 12), (12, 13), (20, 13), (21, 20), (7, 7)], "src long, dst long")
+    assert {r.src: r.dst for r in agg.transitive(m).collect()} == {2: 1, 5: 3, 4: 3, 13: 11, 12: 11, 20: 11, 21: 11}
+
+
+def test_json_clocks(spark):
+    assert readers.salvage_json('{"start_s": 1:02:03, "end_s": 2:05}') == '{"end_s": 125, "start_s": 3723}'
+    assert readers.salvage_json('{"note": "at \\"x\\": 1:05, they", "b": 1}') == '{"b": 1, "note": "at \\"x\\": 1:05, they"}'
+    assert readers.salvage_json('{"a": "1:05", "b": 1:05, "c": [1, 2, {"d') == '{"a": "1:05", "b": 65, "c": [1, 2]}'
+
+
+def test_dates_by_month_name(spark):
+    d = lambda t: one(spark, sem.parse_date(F.lit(t)))
+    assert d("on July 4, 1996 at home").iso == "1996-07-04" and d("Sept 9th 2001").iso == "2001-09-09"
+    assert d("may 1987").precision == "year" and d("nothing").precision == "unknown"
