@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import os
+import tempfile
+import zipfile
 from pathlib import Path
 
 import numpy as np
@@ -30,10 +32,22 @@ def ship(spark: SparkSession) -> None:
     """Let Python workers import this package even if only the driver's sys.path has it, and bound the batches they get."""
     if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    context = spark.sparkContext
+    if context.master == "local" or context.master.startswith("local["):
+        paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if ROOT not in paths:
+            context.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    elif context.applicationId not in _shipped:
+        # executors need not see the driver's folders: the package goes to them as a file
+        _shipped.add(context.applicationId)
+        path = Path(tempfile.mkdtemp()) / "skein-package.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(Path(ROOT, "skein").rglob("*.py")):
+                z.write(f, f.relative_to(ROOT))
+        context.addPyFile(str(path))
+
+
+_shipped: set[str] = set()
 
 
 def fresh(df: DataFrame, name: str) -> str:
