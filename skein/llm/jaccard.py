@@ -379,7 +379,8 @@ def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = L
     size = work.save(size.select("cluster", "band", "blocks"), "sizes")
     stays = work.save(stays.join(size, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("c1", "c2"), "blocks").cast("int")), "stays")
     named = member.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct()
-    wanted = rows.join(named, "doc_id", "left_semi")
+    # the ids grow with the corpus: sorted and merged at every size, never sent whole to a task
+    wanted = rows.join(named.hint("merge"), "doc_id", "left_semi")
     if member.where("rep is null").limit(1).count():
         wanted = wanted.unionByName(rows.where("doc_id is null"))
 
