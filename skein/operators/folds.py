@@ -21,6 +21,9 @@ def stitch(events: DataFrame, gap: float = 120.0, least: float = 4.0) -> DataFra
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     cut = events.withColumn("new", F.when(reach.isNull() | (F.col("s") - reach > gap), 1).otherwise(0))
     cut = cut.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    cut = cut.withColumn("rows", F.count("*").over(Window.partitionBy("media", "island")))
+    # an island of one event is its own cluster; only others are folded
+    alone = cut.where(F.col("rows") == 1).select("id", "media", (F.col("island") * 1_000_000 + 1).alias("cluster"))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["s", "id"])
@@ -44,7 +47,8 @@ def stitch(events: DataFrame, gap: float = 120.0, least: float = 4.0) -> DataFra
             out.append(len(clusters))
         return pd.DataFrame({"id": rows["id"], "media": rows["media"], "cluster": rows["island"] * 1_000_000 + out})
 
-    return cut.groupBy("media", "island").applyInPandas(fold, "id long, media long, cluster long")
+    folded = cut.where(F.col("rows") > 1).groupBy("media", "island").applyInPandas(fold, "id long, media long, cluster long")
+    return folded.unionByName(alone)
 
 
 def budget_batches(d: DataFrame, key: str, max_rows: int = 45, max_span: float = 720.0) -> DataFrame:

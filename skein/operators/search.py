@@ -28,6 +28,23 @@ def build_index(docs: DataFrame, stopwords=STOPWORDS) -> Index:
     return Index(postings, norms, stats, n)
 
 
+def write_index(index: Index, path: str) -> None:
+    """The index as Parquet, postings in order of their terms, so that a query reads the row groups of its own terms only."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    index.stats.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/stats")
+    index.norms.write.parquet(f"{path}/norms")
+    index.stats.sparkSession.createDataFrame([(index.documents,)], "documents long").write.parquet(f"{path}/size")
+
+
+def read_index(spark: SparkSession, path: str, only: DataFrame | None = None) -> Index:
+    """A written index; with a query's terms (see `query_terms`) the part of it that they need."""
+    postings, stats = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "stats"))
+    if only is not None:
+        wanted = [r["term"] for r in only.select("term").collect()]
+        postings, stats = postings.where(F.col("term").isin(wanted)), stats.where(F.col("term").isin(wanted))
+    return Index(postings, spark.read.parquet(f"{path}/norms"), stats, spark.read.parquet(f"{path}/size").first()["documents"])
+
+
 def query_terms(spark: SparkSession, text: str, stopwords=STOPWORDS) -> DataFrame:
     """The query's terms and counts; a query is one row, so this side is small by construction."""
     return spark.createDataFrame([(text,)], "text string").select(F.explode(terms(F.col("text"), stopwords)).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))

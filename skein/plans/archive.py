@@ -323,9 +323,9 @@ def set_diff_full_outer(spark, sf_dir):
     return agg.set_diff(e.where("id % 3 <> 0"), new, "id", "v").groupBy("what").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_uncovered(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
     return table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
