@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,14 @@ class Workspace:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def release(self) -> None:
-        """Have shuffle files of plans that are no longer referenced removed now, not at some later collection."""
+        """Have shuffle files of plans that are no longer referenced removed now, not at some later collection.
+
+        A plan that has just run is still held by events under way to Spark's listeners, so these are
+        waited for; the second collection finds what the first one has set free.
+        """
+        context = self.spark.sparkContext
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        for _ in range(2):
+            context._jvm.System.gc()
+            time.sleep(0.2)
