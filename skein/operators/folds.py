@@ -10,16 +10,46 @@ from ..workspace import Workspace
 from .graph import components
 
 
+#: What an event may carry beside id, media, s, e, label and words for its merge score.
+SIGNALS = ["places", "dates", "people", "source", "boundary"]
+
+
+def merge_score(a, b, gap: float) -> float:
+    """How well event b goes with a cluster's event a, `gap` seconds after that cluster's end.
+
+    Words 3 (Jaccard 0.55) or 1.5 (0.35), label 1 or -2, a place 2, a date 2 or -1, a person 1 where
+    words share a quarter, overlap 0.75 or 0.5 within 30 s, another source 0.5, a chunk's boundary 0.75;
+    what either lacks counts for nothing.
+    """
+    both = lambda f: (getattr(a, f), getattr(b, f))
+    x, y = both("words")
+    share = len(x & y) / len(x | y) if x and y else 0.0
+    score = 3.0 if share >= 0.55 else 1.5 if share >= 0.35 else 0.0
+    if a.label and b.label:
+        score += 1.0 if a.label == b.label else -2.0
+    x, y = both("places")
+    score += 2.0 if x & y else 0.0
+    x, y = both("dates")
+    score += 2.0 if x & y else -1.0 if x and y else 0.0
+    x, y = both("people")
+    score += 1.0 if x & y and share >= 0.25 else 0.0
+    score += 0.75 if gap <= 0 else 0.5 if gap <= 30 else 0.0
+    x, y = both("source")
+    score += 0.5 if x is not None and y is not None and x != y else 0.0
+    return score + (0.75 if a.boundary or b.boundary else 0.0)
+
+
 def stitch(events: DataFrame, gap: float = 120.0, least: float = 4.0) -> DataFrame:
-    """media, id, s, e, label, words -> id, media, cluster: each event joins the current cluster or opens one.
+    """media, id, s, e, label, words and any of SIGNALS -> id, media, cluster: each event joins the current cluster or opens one.
 
     First cut where a start lies more than `gap` after every earlier end: no cluster crosses such a
-    cut. Islands are then folded independently; a score is 3 or 1.5 for similar words, +1 or -2
-    for the label, and nearness.
+    cut. Islands are then folded independently: an event joins if its best merge_score with an event
+    of the cluster is `least` or more. words, places, dates and people are arrays, boundary a boolean.
     """
     w = Window.partitionBy("media").orderBy("s", "id")
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = events.withColumn("new", F.when(reach.isNull() | (F.col("s") - reach > gap), 1).otherwise(0))
+    given = ["id", "media", "s", "e", "label", "words", *[c for c in SIGNALS if c in events.columns]]
+    cut = events.select(given).withColumn("new", F.when(reach.isNull() | (F.col("s") - reach > gap), 1).otherwise(0))
     cut = cut.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
     cut = cut.withColumn("rows", F.count("*").over(Window.partitionBy("media", "island")))
     # an island of one event is its own cluster; only others are folded
@@ -27,24 +57,18 @@ def stitch(events: DataFrame, gap: float = 120.0, least: float = 4.0) -> DataFra
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["s", "id"])
-        clusters: list[list[int]] = []
-        out, members, end = [], [], float("-inf")
+        for c in ("words", "places", "dates", "people"):
+            rows[c] = [frozenset() if v is None else frozenset(v) for v in rows[c]] if c in rows else [frozenset()] * len(rows)
+        rows["source"] = rows["source"].astype(object).where(rows["source"].notna(), None) if "source" in rows else None
+        rows["boundary"] = rows["boundary"].fillna(False).astype(bool) if "boundary" in rows else False
+        cluster, out, members, end = 0, [], [], float("-inf")
         for r in rows.itertuples():
-            mine = set(() if r.words is None else r.words)
-            best = float("-inf")
-            for m in members:
-                theirs = set(() if m.words is None else m.words)
-                share = len(mine & theirs) / len(mine | theirs) if mine and theirs else 0.0
-                score = 3.0 if share >= 0.55 else 1.5 if share >= 0.35 else 0.0
-                score += 1.0 if m.label == r.label else -2.0
-                score += 0.75 if r.s <= m.e and r.e >= m.s else 0.5 if r.s - m.e <= 30 else 0.0
-                best = max(best, score)
-            if r.s - end > gap or best < least:
-                clusters.append([])
-                members, end = [], float("-inf")
+            wait = r.s - end
+            if wait > gap or max((merge_score(m, r, wait) for m in members), default=float("-inf")) < least:
+                cluster, members, end = cluster + 1, [], float("-inf")
             members.append(r)
             end = max(end, r.e)
-            out.append(len(clusters))
+            out.append(cluster)
         return pd.DataFrame({"id": rows["id"], "media": rows["media"], "cluster": rows["island"] * 1_000_000 + out})
 
     folded = cut.where(F.col("rows") > 1).groupBy("media", "island").applyInPandas(fold, "id long, media long, cluster long")

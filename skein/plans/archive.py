@@ -431,7 +431,10 @@ def place_groups(spark, sf_dir):
 
 @query()
 def stitch_events(spark, sf_dir):
-    s = segments(spark, sf_dir).withColumn("words", F.array("label", F.col("k").cast("string")))
+    """All eight signals, made of k and id; a gap of 900 s, as segments here lie far apart."""
+    k = F.col("k")
+    s = segments(spark, sf_dir).withColumn("words", F.array("label", (k % 3).cast("string")))
+    s = s.withColumns({"places": F.array(k % 5), "dates": F.when(k % 6 > 0, F.array(k % 6)), "people": F.array(k % 4), "source": F.col("id") % 2, "boundary": k > 90})
     return folds.stitch(s, gap=900.0)
 
 
