@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,24 +57,28 @@ def stitch(events: DataFrame, gap: float = 120.0, least: float = 4.0) -> DataFra
     # an island of one event is its own cluster; only others are folded
     alone = cut.where(F.col("rows") == 1).select("id", "media", (F.col("island") * 1_000_000 + 1).alias("cluster"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["s", "id"])
-        for c in ("words", "places", "dates", "people"):
-            rows[c] = [frozenset() if v is None else frozenset(v) for v in rows[c]] if c in rows else [frozenset()] * len(rows)
-        rows["source"] = rows["source"].astype(object).where(rows["source"].notna(), None) if "source" in rows else None
-        rows["boundary"] = rows["boundary"].fillna(False).astype(bool) if "boundary" in rows else False
-        cluster, out, members, end = 0, [], [], float("-inf")
-        for r in rows.itertuples():
-            wait = r.s - end
-            if wait > gap or max((merge_score(m, r, wait) for m in members), default=float("-inf")) < least:
-                cluster, members, end = cluster + 1, [], float("-inf")
-            members.append(r)
-            end = max(end, r.e)
-            out.append(cluster)
-        return pd.DataFrame({"id": rows["id"], "media": rows["media"], "cluster": rows["island"] * 1_000_000 + out})
-
-    folded = cut.where(F.col("rows") > 1).groupBy("media", "island").applyInPandas(fold, "id long, media long, cluster long")
-    return folded.unionByName(alone)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, cluster, members, end = None, 0, [], float("-inf")
+        for rows in batches:
+            for c in ("words", "places", "dates", "people"):
+                rows[c] = [frozenset() if v is None else frozenset(v) for v in rows[c]] if c in rows else [frozenset()] * len(rows)
+            rows["source"] = rows["source"].astype(object).where(rows["source"].notna(), None) if "source" in rows else None
+            rows["boundary"] = rows["boundary"].fillna(False).astype(bool) if "boundary" in rows else False
+            out = []
+            for r in rows.itertuples():
+                if at != (r.media, r.island):
+                    at, cluster, members, end = (r.media, r.island), 0, [], float("-inf")
+                wait = r.s - end
+                if wait > gap or max((merge_score(m, r, wait) for m in members), default=float("-inf")) < least:
+                    cluster, members, end = cluster + 1, [], float("-inf")
+                members.append(r)
+                end = max(end, r.e)
+                out.append(cluster)
+            yield pd.DataFrame({"id": rows["id"], "media": rows["media"], "cluster": rows["island"] * 1_000_000 + out})
+
+    # islands lie whole and in order in one partition; batches cut them, so the fold carries its state
+    ordered = cut.where(F.col("rows") > 1).repartition("media", "island").sortWithinPartitions("media", "island", "s", "id")
+    return ordered.mapInPandas(fold, "id long, media long, cluster long").unionByName(alone)
 
 
 def budget_batches(d: DataFrame, key: str, max_rows: int = 45, max_span: float = 720.0) -> DataFrame:

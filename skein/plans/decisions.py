@@ -170,13 +170,13 @@ def distinct_albums(spark, sf_dir):
     return dec.distinct_albums(albums, d.where("album % 10 > 0").select(n.alias("id"), (F.col("k") % 5).alias("event")), "kind")
 
 
-CITES = "ct AS (SELECT DISTINCT id // 4 AS ev, CASE WHEN id % 6 = 0 THEN -id ELSE k * 7 END AS x FROM ev WHERE id // 4 % 9 > 0), vd AS (SELECT id AS x, v AS s, CASE WHEN id % 8 > 0 THEN v + k END AS e, CASE WHEN id % 3 = 0 THEN 'non_content_range' ELSE 'transcript' END AS kind FROM ev)"
+CITES = "ct AS (SELECT DISTINCT id // 4 AS ev, CASE WHEN id % 6 = 0 THEN -id ELSE id // 400 * 400 + k * 4 END AS x FROM ev WHERE id // 4 % 9 > 0), vd AS (SELECT id AS x, v AS s, CASE WHEN id % 8 > 0 THEN v + k END AS e, CASE WHEN id % 3 = 0 THEN 'non_content_range' ELSE 'transcript' END AS kind FROM ev)"
 
 
 def _cites(spark, sf_dir):
     """Event and claim cites of evidence; every sixth cites what does not exist."""
     n = F.col("id")
-    return events(spark, sf_dir).withColumn("x", F.when(n % 6 == 0, -n).otherwise(F.col("k") * 7)).select(F.expr("id div 4").alias("ev"), "x").where("ev % 9 > 0")
+    return events(spark, sf_dir).withColumn("x", F.when(n % 6 == 0, -n).otherwise(F.expr("id div 400 * 400 + k * 4"))).select(F.expr("id div 4").alias("ev"), "x").where("ev % 9 > 0")
 
 
 @query(f"WITH {EV}, {CITES}, e AS (SELECT id // 4 AS ev, min(v) AS s, min(v) + min(k) - 20 AS e FROM ev GROUP BY id // 4), g AS (SELECT ev, min(vd.s) AS gs, max(coalesce(vd.e, vd.s)) AS ge, count(*) AS n, bool_and(kind = 'non_content_range') AS blank FROM ct JOIN vd USING (x) GROUP BY ev) SELECT ev AS id, round(coalesce(gs, e.s), 6) AS s, round(greatest(coalesce(ge, e.e), coalesce(gs, e.s)), 6) AS e, coalesce(n, 0) AS n FROM e LEFT JOIN g USING (ev) WHERE NOT coalesce(blank, false)")
@@ -188,15 +188,15 @@ def cited_event_ranges(spark, sf_dir):
     return out.select("id", F.round("s", 6).alias("s"), F.round("e", 6).alias("e"), "n")
 
 
-@query(f"WITH {EV}, {CITES}, cl AS (SELECT id AS claim, ['person_mention', 'place_candidate', 'language', 'gesture'][id % 4 + 1] AS p, label AS value, k * 7 AS x FROM ev WHERE id % 5 = 0), f AS (SELECT ev, claim, CASE p WHEN 'person_mention' THEN 'people' WHEN 'place_candidate' THEN 'place_candidates' WHEN 'language' THEN 'languages' END AS field, value FROM ct JOIN cl USING (x)) SELECT ev AS id, field, value, min(claim) AS first FROM f WHERE field IS NOT NULL GROUP BY ev, field, value")
+@query(f"WITH {EV}, {CITES}, cl AS (SELECT id AS claim, ['person_mention', 'place_candidate', 'language', 'gesture'][id % 4 + 1] AS p, label AS value, id // 400 * 400 + k * 4 AS x FROM ev WHERE id % 5 = 0), f AS (SELECT ev, claim, CASE p WHEN 'person_mention' THEN 'people' WHEN 'place_candidate' THEN 'place_candidates' WHEN 'language' THEN 'languages' END AS field, value FROM ct JOIN cl USING (x)) SELECT ev AS id, field, value, min(claim) AS first FROM f WHERE field IS NOT NULL GROUP BY ev, field, value")
 def enriched_events(spark, sf_dir):
     n = F.col("id")
     c = events(spark, sf_dir).where("id % 5 = 0")
     name = F.element_at(F.array(*[F.lit(p) for p in ("person_mention", "place_candidate", "language", "gesture")]), (n % 4 + 1).cast("int"))
     claims = c.select(n.alias("claim"), name.alias("predicate"), F.col("label").alias("value"))
-    cites = _cites(spark, sf_dir).select(F.col("ev").alias("id"), F.col("x").cast("long").alias("evidence_id"))
+    cites = _cites(spark, sf_dir).select(F.col("ev").alias("id"), F.col("x").alias("evidence_id"))
     fields = {"person_mention": "people", "place_candidate": "place_candidates", "language": "languages", "date_candidate": "date_candidates"}
-    return dec.enriched(cites, claims, c.select(n.alias("claim"), (F.col("k") * 7).cast("long").alias("evidence_id")), fields)
+    return dec.enriched(cites, claims, c.select(n.alias("claim"), F.expr("id div 400 * 400 + k * 4").alias("evidence_id")), fields)
 
 
 @query(f"WITH {SEG}, t AS (SELECT 'transcript' AS kind, conv_id * 1000 + turn AS source_id, conv_id AS media, CAST(turn AS DOUBLE) AS s, turn + 1.0 AS e, text FROM conversations UNION ALL SELECT 'caption', id, media, s, e, label FROM seg WHERE label = 'view' UNION ALL SELECT 'ocr', id, media, s, e, label || k FROM seg WHERE label = 'click') SELECT kind, media, count(*) AS n, round(min(s), 5) AS s, round(max(e), 5) AS e, CAST(sum(length(text)) AS BIGINT) AS chars, min(kind || '_' || lpad(CAST(source_id AS VARCHAR), 12, '0')) AS first FROM t GROUP BY kind, media")
