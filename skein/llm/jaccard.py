@@ -15,6 +15,8 @@ from .common import RollingHash, Workspace, claim, components, keeps, mix, trim
 WIDTH, LEAST = 3, (90, 100)
 #: Hash groups of a count vector, points in a leaf and nodes under a node of the R-tree, and points in a task's block and their shingles, about.
 GROUPS, LEAF, BLOCK, VALUES = 64, 32, 4096, 3_000_000
+#: Shingles that a round copies for pairs of blocks, or a slice of the texts brings, before there are more of them; most slices.
+ROUND, SLICES = 16_000_000, 8
 #: Postings that a task gathers before it sends them to their buckets.
 POSTED = 1 << 20
 SPACE = np.zeros(256, bool)
@@ -348,7 +350,8 @@ def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = L
     3. A cluster's sets become points, counts of their shingles in GROUPS hash groups; R-trees bound
        overlaps by summed minima, and survivors are verified on whole sets. Sets meet those of their
        own size band and the next one; a band of more than BLOCK sets, or of VALUES shingles, is
-       dealt as pairs of blocks, so a task's memory does not follow the cluster's size.
+       dealt as pairs of blocks, so a task's memory does not follow the cluster's size. Pairs are
+       dealt in rounds, so the disk holds part of the copies that they need, not all at once.
     4. Found links and equal sets give the components.
 
     No link between different texts is lost. A null or empty text has the empty set and is its own
@@ -372,42 +375,60 @@ def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = L
     band = (F.size(F.filter(F.lit(_edges[least]), lambda e: e <= F.col("n"))) - 1).cast("int")
     member = work.save(reps.join(clusters, "c1").withColumn("band", band), "members")
     # a band's sets meet one another and, as visitors, those of the band below: similar sets are never further apart
-    stays = member.select("cluster", "c1", "c2", "n", "band", F.lit(False).alias("visits"))
+    stays = member.select("cluster", "c1", "c2", "n", "rep", "band", F.lit(False).alias("visits"))
     stays = stays.unionByName(stays.withColumn("band", F.col("band") - 1).withColumn("visits", F.lit(True)))
     size = stays.groupBy("cluster", "band").agg(F.count("*").alias("members"), F.sum("n").alias("values"), F.count_if(~F.col("visits")).alias("home"))
     size = size.where("home > 0 and members > 1").withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("values") / VALUES)).cast("int"))
     size = work.save(size.select("cluster", "band", "blocks"), "sizes")
-    stays = work.save(stays.join(size, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("c1", "c2"), "blocks").cast("int")), "stays")
-    named = member.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct()
-    # the ids grow with the corpus: sorted and merged at every size, never sent whole to a task
-    wanted = rows.join(named.hint("merge"), "doc_id", "left_semi")
-    if member.where("rep is null").limit(1).count():
-        wanted = wanted.unionByName(rows.where("doc_id is null"))
+    stays = stays.join(size, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("c1", "c2"), "blocks").cast("int"))
+    places = F.collect_list(F.struct("cluster", "band", "blocks", "block", "visits")).alias("places")
+    stays = stays.groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("rep").alias("rep"), places)
+    stays = work.save(stays, "stays")
+    dealt_out = F.aggregate("places", F.lit(0).cast("long"), lambda total, p: total + p["blocks"]) * F.col("n")
+    values, replicas = (int(v or 0) for v in stays.agg(F.sum("n"), F.sum(dealt_out)).first())
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("jaccard")
         for batch in batches:
-            for lo, hi in parts(batch.column(0)):
-                sets = shingle_hashes(batch.column(0).slice(lo, hi - lo).to_pylist(), width)
+            for lo, hi in parts(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                sets = shingle_hashes(part.column(1).to_pylist(), width)
                 ids = [set_id(s) for s in sets]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))], names=["c1", "c2", "listed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))], names=["doc_id", "c1", "c2", "listed"])
         _hash.forget()
         trim()
 
-    sets = wanted.select("text").mapInArrow(whole_sets, "c1 long, c2 long, listed array<long>").dropDuplicates(["c1", "c2"])
-    sets = work.save(stays.join(sets, ["c1", "c2"]), "sets")
-    del wanted, stays
-    work.release()
-    # a block meets itself and every later block of its band, as (least, greatest) pairs
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    sets = sets.withColumn("pair", F.explode(pairs)).select("cluster", "band", "pair.x", "pair.y", "block", "visits", "c1", "c2", "listed")
+    # texts are shuffled a slice of the ids at a time, each set taken from its representative, so from one slice
+    slices = min(SLICES, max(1, -(-values // ROUND)))
+    unnamed = bool(stays.where("rep is null").limit(1).count())
+    for k in range(slices):
+        mine = lambda d, c: d.where(F.pmod(F.xxhash64(c), F.lit(slices)) == k) if slices > 1 else d  # noqa: B023, E731
+        here = mine(stays, "rep")
+        # the ids grow with the corpus: sorted and merged at every size, never sent whole to a task
+        wanted = mine(rows, "doc_id").join(here.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct().hint("merge"), "doc_id", "left_semi")
+        if unnamed:
+            wanted = wanted.unionByName(mine(rows.where("doc_id is null"), "doc_id"))
+        found = here.join(wanted.select("doc_id", "text").mapInArrow(whole_sets, "doc_id long, c1 long, c2 long, listed array<long>"), ["c1", "c2"])
+        found = found.where(F.coalesce(F.col("rep") == F.col("doc_id"), F.col("rep").isNull() & F.col("doc_id").isNull()))
+        sets = work.save(found.select("c1", "c2", "places", "listed").dropDuplicates(["c1", "c2"]), "sets", "append")
+        del here, wanted, found
+        work.release()
+    # a block meets itself and every later block of its band, as (least, greatest) pairs; a set is copied once a
+    # pair, so pairs are dealt in rounds that copy half of all sets at most, about, and leave no files behind
+    rounds = max(1, -(-replicas // max(values // 2, ROUND)))
+    pair = lambda p, o: F.struct(p["cluster"].alias("cluster"), p["band"].alias("band"), F.least(o, p["block"]).alias("x"), F.greatest(o, p["block"]).alias("y"), p["block"].alias("block"), p["visits"].alias("visits"))
+    pairs = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda o: pair(p, o))))
     keys = ["cluster", "band", "x", "y"]
-    sets = sets.repartition(*keys).sortWithinPartitions(*keys, "visits", "block")
-    links = work.save(sets.mapInArrow(lambda batches: links_of(batches, least), LINKS), "links")
+    for k in range(rounds):
+        now = F.filter(pairs, lambda q: F.pmod(F.xxhash64(*(q[c] for c in keys)), F.lit(rounds)) == k)  # noqa: B023
+        met_now = sets.select("c1", "c2", "listed", F.explode(now).alias("pair")).select(*(f"pair.{c}" for c in keys), "pair.block", "pair.visits", "c1", "c2", "listed")
+        met_now = met_now.repartition(*keys).sortWithinPartitions(*keys, "visits", "block")
+        links = work.save(met_now.mapInArrow(lambda batches: links_of(batches, least), LINKS), "links", "append")
+        del met_now
+        work.release()
     del sets
     work.drop("sets")
-    work.release()
     linked = components(links, work).select("node.c1", "node.c2", F.col("component").alias("class"))
     linked = reps.join(linked, ["c1", "c2"], "left").withColumn("class", F.coalesce("class", F.struct("c1", "c2")))
     # an id on rows with different texts joins their classes as well
