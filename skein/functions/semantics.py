@@ -18,6 +18,13 @@ def number_or_null(c: Column) -> Column:
     return c.try_cast("double")
 
 
+def exact_sum(c: Column) -> Column:
+    """The sum of doubles of ten decimals at most, whatever their order; any others are added as doubles."""
+    d = c.try_cast("decimal(28,10)")
+    exact = F.bool_and(F.coalesce(d.cast("double") == c, c.isNull()))
+    return F.coalesce(F.when(exact, F.try_sum(d).cast("double")), F.sum(c))
+
+
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column, closed: bool = True) -> Column:
     return (a_start <= b_end) & (a_end >= b_start) if closed else (a_start < b_end) & (a_end > b_start)
 

@@ -221,7 +221,7 @@ DUR = "t AS (SELECT user_id AS media, sum(value) AS duration FROM events GROUP B
 
 
 def _durations(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("media")).agg(F.sum("value").alias("duration"))
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("media")).agg(sem.exact_sum(F.col("value")).alias("duration"))
 
 
 @query(f"WITH {DUR}, w AS (SELECT media, duration, unnest(range(0, greatest(ceil(duration / 30), 1)::BIGINT)) AS idx FROM t) SELECT media, idx, idx * 30.0 AS w_start, round(least((idx + 1) * 30.0, duration), 6) AS w_end FROM w")

@@ -4,7 +4,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from skein.plans import assembly
+from skein.plans import archive, assembly
 
 #: The first moment of the driver's events, in microseconds; dense() divides times by 200.
 START = 1_704_067_200_000_000
@@ -41,3 +41,23 @@ def test_rows_of_an_item_that_start_together_on_two_media(spark, tmp_path):
     events = [(0, 5.0, 1, "error", 100.0, 1), (10, 20.0, 1, "view", 5.0, 1), (11, 20.0, 2, "view", 5.0, 1), (12, 30.0, 1, "view", 5.0, 1), (13, 30.0, 1, "view", 900.0, 1)]
     got, want = both(spark, tmp_path, assembly, "visible_rows", events)
     assert got == want == [(5, True), (6, False)]
+
+
+def test_windows_do_not_follow_the_order_of_a_sum(spark, tmp_path):
+    # as doubles added in this order: 30.000000000000156 and 1200.0000000000002
+    short, long = [0.1] * 300, [0.1] * 300 + [1170.0]
+    assert sum_in_order(short) > 30 and sum_in_order(long) > 1200
+    events = [(i, float(i), user, "view", v, 1) for user, values in ((1, short), (2, long)) for i, v in enumerate(values)]
+    for d, rows in (("up", events), ("down", events[::-1])):
+        (tmp_path / d).mkdir()
+        tumbling, _ = both(spark, tmp_path / d, archive, "tumbling_windows", rows)
+        assert [sum(r[0] == user for r in tumbling) for user in (1, 2)] == [1, 40]
+        hopping, _ = both(spark, tmp_path / d, archive, "hopping_windows", rows)
+        assert hopping == [(1, 0, 0.0, 30.0), (2, 0, 0.0, 1200.0)]
+
+
+def sum_in_order(values):
+    total = 0.0
+    for v in values:
+        total += v
+    return total
