@@ -11,6 +11,7 @@ from ..functions import semantics as sem
 from ..operators import aggregates as agg
 from ..operators import folds, search
 from ..operators import intervals as iv
+from ..operators.linkage import linkage
 from ..sources import readers
 from ..streaming.sessions import sessions
 from ..workspace import Workspace
@@ -446,7 +447,7 @@ def budget_batches(spark, sf_dir):
 @query()
 def constrained_hac(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 50).alias("frame"), F.col("embedding").alias("v"))
-    return folds.average_linkage(folds.within_cutoff(e, 0.9, Workspace(spark, "hac")), 0.9)
+    return linkage(e, 0.9, Workspace(spark, "hac"))
 
 
 @query()
