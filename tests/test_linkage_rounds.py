@@ -1,6 +1,7 @@
 """Linkage in rounds against a linkage over one whole matrix, and its time on many vectors."""
 
 import time
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,33 @@ def test_copies_and_rows_without_a_vector(spark, tmp_path, last):
     assert clusters(rows) == want | {frozenset(g) for g in ([100], [101], [102], [103], [104, 105], [None], [106, 107, 108], [109])}
 
 
+def exact(ids, frames, v, cutoff):
+    """Clusters of whole vectors of length 2, all in fractions; ties by the smaller ids."""
+    groups = {i: ([k], {f}) for k, (i, f) in enumerate(zip(ids, frames, strict=True))}
+    dot = (np.array(v) @ np.array(v).T).tolist()
+    while True:
+        pairs = [(1 - Fraction(sum(dot[x][y] for x in groups[i][0] for y in groups[j][0]), 4 * len(groups[i][0]) * len(groups[j][0])), i, j) for i in groups for j in groups if i < j and not groups[i][1] & groups[j][1]]
+        if not pairs or min(pairs)[0] > cutoff:
+            return {frozenset(ids[k] for k in g) for g, _ in groups.values()}
+        _, i, j = min(pairs)
+        g, f = groups.pop(j)
+        groups[i] = (groups[i][0] + g, groups[i][1] | f)
+
+
+@pytest.mark.parametrize("last", [2, 65536])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ties_and_classes_go_by_the_smaller_ids(spark, tmp_path, seed, last):
+    r = np.random.default_rng(seed)
+    kinds = np.array([[1, 1, 1, 1, 0, 0], [1, 1, 1, 0, 1, 0], [1, 1, 0, 0, 1, 1], [0, 0, 1, -1, 1, 1], [1, -1, 1, 0, 0, 1]][: 2 + seed])
+    v = kinds[r.integers(0, len(kinds), 36)]
+    # copies of some rows stand in one frame, as in a table that is repeated
+    ids, frames = [int(i) for i in r.permutation(36)], [int(f) for f in r.integers(0, 4, 36)]
+    d = spark.createDataFrame([(i, f, [float(y) for y in x]) for i, f, x in zip(ids, frames, v, strict=True)], "id long, frame long, v array<double>")
+    rows = linkage(d, 0.9, Workspace(spark, "t", str(tmp_path)), 16, last).collect()
+    order = np.argsort(ids)
+    assert clusters(rows) == exact(sorted(ids), [frames[k] for k in order], v[order].tolist(), Fraction(9, 10))
+
+
 def test_many_nearly_random_vectors_end_soon(spark, tmp_path):
     n = 12_000
     v = np.random.default_rng(1).normal(size=(n, 64))
