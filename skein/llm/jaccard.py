@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: candidates that share a hash group, R-trees of group-count vectors, verified sets."""
+"""N-gram Jaccard join: groups of sets that share hash groups, R-trees of group-count vectors, verified sets."""
 
 from __future__ import annotations
 
@@ -17,8 +17,8 @@ WIDTH, LEAST = 3, (90, 100)
 GROUPS, LEAF, BLOCK, VALUES = 64, 32, 4096, 3_000_000
 #: Shingles that a round copies for pairs of blocks, or a slice of the texts brings, before there are more of them; most slices.
 ROUND, SLICES = 16_000_000, 8
-#: Postings that a task gathers before it sends them to their buckets.
-POSTED = 1 << 20
+#: Postings that a task gathers before it sends them to their buckets, and sets that one is verified against at once.
+POSTED, TOGETHER = 1 << 20, 64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -211,29 +211,35 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, least: t
 
     A pair already connected by found links needs no verification: it can add nothing to the classes.
     """
-    sets = left + (right or [])
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    sets, (num, den) = left + (right or []), least
     points = np.stack([count_vector(s) for s in sets])
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     offset = len(left) if right is not None else 0
     tree = RTree(points[offset:])
+    # shingles are numbered, so that one set's are marks in an array and others count theirs there
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    coded = np.split(codes, np.cumsum(sizes)[:-1])
+    marks = np.zeros(int(codes.max()) + 1, np.int32)
+    label = np.arange(len(sets))
     links = []
     for i in range(len(left)):
-        for j in (tree.search(points[i], int(sizes[i]), sizes[offset:], least) + offset).tolist():
-            if j != i and (right is not None or j > i) and find(i) != find(j) and similar(sets[i], sets[j], least):
-                root[find(j)] = find(i)
-                links.append((i, j))
+        near = tree.search(points[i], int(sizes[i]), sizes[offset:], least) + offset
+        near = near[near > i]
+        near = near[label[near] != label[i]]
+        marks[coded[i]] = 1
+        while len(near):
+            now, near = near[:TOGETHER], near[TOGETHER:]
+            both = np.add.reduceat(marks[np.concatenate([coded[j] for j in now.tolist()])], np.concatenate([[0], np.cumsum(sizes[now])[:-1]]))
+            for j in now[den * both >= num * (sizes[i] + sizes[now] - both)].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    links.append((i, j))
+            near = near[label[near] != label[i]]
+        marks[coded[i]] = 0
     return links
 
 
-#: Columns of the first pass: a document's size and set, a candidate edge (c1 to c2), or packed postings of a bucket.
+#: Columns of the first pass: a document's size and set, an edge of a set to its group's leader (c1 to c2), or packed postings of a bucket.
 DEALT = "kind tinyint, bucket int, doc_id long, n long, c1 long, c2 long, packed binary"
 DOCUMENT, EDGE, POSTINGS = 0, 1, 2
 
@@ -245,28 +251,22 @@ def dealt_rows(kind: int, bucket, doc_id=None, n=None, c1=None, c2=None, packed=
     return pa.RecordBatch.from_arrays([pa.nulls(size, t) if given[c] is None else given[c] if isinstance(given[c], pa.Array) else pa.array(given[c], t) for c, t in kinds.items()], names=list(kinds))
 
 
-def met(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b) edges from each posting's owner to the least owner of its signature, without loops and repeats, and each signature once with that owner."""
+def met(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, leader) edges without loops and repeats; a signature's leader is its least owner."""
     order = np.argsort(sig)
     sig, owner = sig[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    low = np.minimum.reduceat(owner, first) if len(first) else owner
     size = np.diff(np.append(first, len(sig)))
-    many = np.flatnonzero(size > 1)
-    if not len(many):
-        return owner[:0], owner[:0], sig[first], low
-    mine = np.concatenate([owner[at : at + k] for at, k in zip(first[many].tolist(), size[many].tolist(), strict=True)])
-    theirs = np.repeat(low[many], size[many])
-    differ = mine != theirs
-    pairs = np.unique(np.stack([mine[differ], theirs[differ]], 1), axis=0) if differ.any() else np.zeros((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1], sig[first], low
+    low = np.repeat(np.minimum.reduceat(owner, first), size) if len(first) else owner
+    differ = owner != low
+    pairs = np.unique(np.stack([owner[differ], low[differ]], 1), axis=0) if differ.any() else np.zeros((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def post(batches: Iterator[pa.RecordBatch], least: tuple[int, int], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Sizes and set ids of (doc_id, text) rows, and the postings of the task's distinct sets, packed by bucket.
 
-    Postings of one signature that meet here are reduced to one and edges, so a signature that many
-    sets share leaves a task once for each POSTED postings, not once a set.
+    A signature is not reduced here: all its owners have to meet one leader, the least of all tasks'.
     """
     claim("jaccard")
     seen: set[int] = set()
@@ -275,9 +275,9 @@ def post(batches: Iterator[pa.RecordBatch], least: tuple[int, int], width: int,
     total = turn = 0
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        a, b, sig, owner = met(np.concatenate([*sigs, np.zeros(0, np.int64)]), np.concatenate([*owners, np.zeros(0, np.int64)]))
-        if len(a):
-            yield dealt_rows(EDGE, (np.arange(len(a)) % buckets).astype(np.int32), c1=a, c2=b)
+        sig, owner = np.concatenate([*sigs, np.zeros(0, np.int64)]), np.concatenate([*owners, np.zeros(0, np.int64)])
+        order = np.argsort(sig)
+        sig, owner = sig[order], owner[order]
         # signatures are in order, so a bucket is a stretch of them
         at = np.searchsorted(sig, np.asarray([(k << 64) // buckets - (1 << 63) for k in range(buckets)] + [(1 << 63) - 1], np.int64))
         at[-1] = len(sig)
@@ -321,7 +321,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solved() -> pa.RecordBatch:
         whole = [np.frombuffer(x, np.int64) for x in held]
-        a, b, _, _ = met(np.concatenate([x[: len(x) // 2] for x in whole]), np.concatenate([x[len(x) // 2 :] for x in whole]))
+        a, b = met(np.concatenate([x[: len(x) // 2] for x in whole]), np.concatenate([x[len(x) // 2 :] for x in whole]))
         return dealt_rows(EDGE, np.zeros(len(a), np.int32), c1=a, c2=b)
 
     for batch in batches:
@@ -345,13 +345,15 @@ def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = L
 
     1. Each text's shingles are hashed; equal sets are one class each. A class is posted under hashes
        of its hash groups (see `bands` and `signatures`): similar classes share at least one. Postings go to buckets
-       of signatures once, packed, and meet there in classes' least neighbours.
-    2. Classes that share any signature are one candidate cluster, found with linear edge lists.
-    3. A cluster's sets become points, counts of their shingles in GROUPS hash groups; R-trees bound
-       overlaps by summed minima, and survivors are verified on whole sets. Sets meet those of their
-       own size band and the next one; a band of more than BLOCK sets, or of VALUES shingles, is
-       dealt as pairs of blocks, so a task's memory does not follow the cluster's size. Pairs are
-       dealt in rounds, so the disk holds part of the copies that they need, not all at once.
+       of signatures once, packed, and a signature's least owner leads the others.
+    2. A leader and all that it leads under any signature are one group. Two sets that share a signature
+       are both in its leader's group, so groups stand for all candidates without following chains of
+       them: sets that only others connect meet in no group. A group inside another one is left out.
+    3. A group's sets become points, counts of their shingles in GROUPS hash groups; R-trees bound
+       overlaps by summed minima, and survivors are verified on whole sets. A group of more than
+       BLOCK sets, or of VALUES shingles, is dealt as pairs of blocks, so a task's memory does not
+       follow the group's size. Groups are dealt in rounds, so the disk holds part of the copies
+       that they need, not all at once.
     4. Found links and equal sets give the components.
 
     No link between different texts is lost. A null or empty text has the empty set and is its own
@@ -368,20 +370,14 @@ def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = L
     dealt = work.save(dealt.mapInArrow(meet, DEALT).select("kind", "doc_id", "n", "c1", "c2"), "dealt")
     work.release()
     sized = dealt.where(F.col("kind") == DOCUMENT).select("doc_id", "n", "c1", "c2")
-    clusters = work.save(components(dealt.where(F.col("kind") == EDGE).select("c1", "c2"), work, "c1", "c2").toDF("c1", "cluster"), "clusters")
+    edges = dealt.where(F.col("kind") == EDGE).select("c1", F.col("c2").alias("leader"))
     reps = sized.where("n > 0").groupBy("c1", "c2").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
-    edge(0, least)
-    band_of(1 << 40, least)
-    band = (F.size(F.filter(F.lit(_edges[least]), lambda e: e <= F.col("n"))) - 1).cast("int")
-    member = work.save(reps.join(clusters, "c1").withColumn("band", band), "members")
-    # a band's sets meet one another and, as visitors, those of the band below: similar sets are never further apart
-    stays = member.select("cluster", "c1", "c2", "n", "rep", "band", F.lit(False).alias("visits"))
-    stays = stays.unionByName(stays.withColumn("band", F.col("band") - 1).withColumn("visits", F.lit(True)))
-    size = stays.groupBy("cluster", "band").agg(F.count("*").alias("members"), F.sum("n").alias("values"), F.count_if(~F.col("visits")).alias("home"))
-    size = size.where("home > 0 and members > 1").withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("values") / VALUES)).cast("int"))
-    size = work.save(size.select("cluster", "band", "blocks"), "sizes")
-    stays = stays.join(size, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("c1", "c2"), "blocks").cast("int"))
-    places = F.collect_list(F.struct("cluster", "band", "blocks", "block", "visits")).alias("places")
+    groups_of = work.save(edges.union(edges.select("leader", "leader")).distinct(), "groups")
+    groups_of = groups_of.join(contained(groups_of), "leader", "left_anti")
+    stays = work.save(reps.join(groups_of, "c1").select("leader", "c1", "c2", "n", "rep"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / VALUES)).cast("int").alias("blocks")
+    stays = stays.join(stays.groupBy("leader").agg(blocks), "leader").withColumn("block", F.pmod(F.xxhash64("c1", "c2"), "blocks").cast("int"))
+    places = F.collect_list(F.struct("leader", "blocks", "block")).alias("places")
     stays = stays.groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("rep").alias("rep"), places)
     stays = work.save(stays, "stays")
     dealt_out = F.aggregate("places", F.lit(0).cast("long"), lambda total, p: total + p["blocks"]) * F.col("n")
@@ -414,16 +410,16 @@ def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = L
         sets = work.save(found.select("c1", "c2", "places", "listed").dropDuplicates(["c1", "c2"]), "sets", "append")
         del here, wanted, found
         work.release()
-    # a block meets itself and every later block of its band, as (least, greatest) pairs; a set is copied once a
+    # a block meets itself and every later block of its group, as (least, greatest) pairs; a set is copied once a
     # pair, so pairs are dealt in rounds that copy half of all sets at most, about, and leave no files behind
     rounds = max(1, -(-replicas // max(values // 2, ROUND)))
-    pair = lambda p, o: F.struct(p["cluster"].alias("cluster"), p["band"].alias("band"), F.least(o, p["block"]).alias("x"), F.greatest(o, p["block"]).alias("y"), p["block"].alias("block"), p["visits"].alias("visits"))
+    pair = lambda p, o: F.struct(p["leader"].alias("leader"), F.least(o, p["block"]).alias("x"), F.greatest(o, p["block"]).alias("y"), p["block"].alias("block"))
     pairs = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda o: pair(p, o))))
-    keys = ["cluster", "band", "x", "y"]
+    keys = ["leader", "x", "y"]
     for k in range(rounds):
         now = F.filter(pairs, lambda q: F.pmod(F.xxhash64(*(q[c] for c in keys)), F.lit(rounds)) == k)  # noqa: B023
-        met_now = sets.select("c1", "c2", "listed", F.explode(now).alias("pair")).select(*(f"pair.{c}" for c in keys), "pair.block", "pair.visits", "c1", "c2", "listed")
-        met_now = met_now.repartition(*keys).sortWithinPartitions(*keys, "visits", "block")
+        met_now = sets.select("c1", "c2", "listed", F.explode(now).alias("pair")).select(*(f"pair.{c}" for c in keys), "pair.block", "c1", "c2", "listed")
+        met_now = met_now.repartition(*keys).sortWithinPartitions(*keys, "block")
         links = work.save(met_now.mapInArrow(lambda batches: links_of(batches, least), LINKS), "links", "append")
         del met_now
         work.release()
@@ -445,6 +441,18 @@ def jaccard_classes(docs: DataFrame, work: Workspace, least: tuple[int, int] = L
     return joined.unionByName(sized.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def contained(groups_of: DataFrame) -> DataFrame:
+    """Leaders whose whole group (c1, leader) is also in the largest group that the leader is led in: all its pairs meet there.
+
+    That group's leader is a lesser one, so of groups that hold each other's sets one stays.
+    """
+    sizes = groups_of.groupBy("leader").agg(F.count("*").alias("m"))
+    led = groups_of.where("c1 <> leader").join(sizes, "leader").groupBy("c1").agg(F.max(F.struct("m", "leader"))["leader"].alias("over"))
+    led = led.withColumnRenamed("c1", "leader").join(sizes.select("leader"), "leader", "left_semi")
+    outside = groups_of.join(led, "leader").join(groups_of.withColumnRenamed("leader", "over"), ["c1", "over"], "left_anti")
+    return led.select("leader").join(outside.select("leader").distinct(), "leader", "left_anti")
+
+
 def parts(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch that hold about a MB of text each, one row at least."""
     import pyarrow.compute as pc
@@ -464,40 +472,28 @@ LINKS = "a struct<c1:long,c2:long>, b struct<c1:long,c2:long>"
 
 
 def links_of(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Links of each pair of blocks in a partition sorted by cluster, band and pair; two visitors of a band meet in their own."""
+    """Links of each pair of blocks in a partition sorted by group and pair."""
     kind = pa.struct([("c1", pa.int64()), ("c2", pa.int64())])
     key, held = None, []
 
     def solved() -> Iterator[pa.RecordBatch]:
-        # held: (visits, block, id, set); within one block all at home against all, else each side's home against the other side
-        out: list[tuple] = []
-        x, y = key[2:]
-        home, guests = ([h for h in held if h[0] == v] for v in (False, True))
-
-        def join(left: list, right: list | None) -> None:
-            if left and (right or right is None):
-                both = left + (right or [])
-                out.extend((both[i][2], both[j][2]) for i, j in block_links([h[3] for h in left], None if right is None else [h[3] for h in right], least))
-
-        if x == y:
-            join(home, None)
-            join(guests, home)
-        else:
-            of = lambda some, b: [h for h in some if h[1] == b]
-            join(of(home, x), of(home, y))
-            join(of(home, x), of(guests, y))
-            join(of(guests, x), of(home, y))
+        # held: (block, id, set)
+        _, x, y = key
+        left, right = ([h for h in held if h[0] == b] for b in (x, y))
+        both, out = left if x == y else left + right, []
+        if left and right:
+            out = [(both[i][1], both[j][1]) for i, j in block_links([h[2] for h in left], None if x == y else [h[2] for h in right], least)]
         yield pa.RecordBatch.from_arrays([pa.array([dict(c1=e[k][0], c2=e[k][1]) for e in out], kind) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(8)]
-        values, ends = batch.column(8).values.to_numpy(), batch.column(8).offsets.to_numpy()
-        for r, (*now, block, visits, c1, c2) in enumerate(zip(*columns, strict=True)):
+        columns = [batch.column(i).to_pylist() for i in range(6)]
+        values, ends = batch.column(6).values.to_numpy(), batch.column(6).offsets.to_numpy()
+        for r, (*now, block, c1, c2) in enumerate(zip(*columns, strict=True)):
             if now != key:
                 if key is not None:
                     yield from solved()
                 key, held = now, []
-            held.append((visits, block, (c1, c2), values[ends[r] : ends[r + 1]].copy().view(np.uint64)))
+            held.append((block, (c1, c2), values[ends[r] : ends[r + 1]].copy().view(np.uint64)))
     if key is not None:
         yield from solved()
     del held

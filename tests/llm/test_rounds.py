@@ -31,3 +31,21 @@ def test_rounds_bound_what_is_copied_at_once(spark, tmp_path, monkeypatch):
     got = {d: c for d, _, c in jaccard.jaccard_classes(df, Workspace(spark, "many", str(tmp_path))).collect()}
     assert got == want
     assert len(copied) > 4
+
+
+def test_chains_of_shared_phrases_are_no_crowd(spark, tmp_path):
+    r = random.Random(3)
+    # each text shares a phrase with the next, so all are chained; near copies of some lie between
+    word = lambda: f"w{r.randrange(10**6)}"
+    phrases = [[word() for _ in range(12)] for _ in range(81)]
+    texts = [" ".join([*phrases[k], word(), word(), *phrases[k + 1]]) for k in range(80)]
+    texts += [edited(r, texts[k].split(), 1) for k in range(0, 80, 8)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {d: c for d, _, c in jaccard.jaccard_classes(df, Workspace(spark, "chain", str(tmp_path))).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows).items()}
+    at = next(tmp_path.glob("chain-*"))
+    # a set's places begin with what it meets the others under
+    places = spark.read.parquet(f"{at}/stays").selectExpr("inline(places)")
+    met = [x["count"] for x in places.groupBy(places.columns[0]).count().collect()]
+    assert met and max(met) < 20
